@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import defaults as D, ids, times as T
 from ...operators import batches as B, jobs as J
+from ...operators.ordering import with_position
 from ...sources import files as S, raw as R
 from ..views import Views
 from .registry import query
@@ -54,11 +55,11 @@ def pruned_files(v: Views):
 
 
 @query("paired_files", "J4", """
-SELECT c.cluster, c.job_id, c.path AS conf_path, c.mod_time AS conf_mod_time, h.path AS history_path, h.mod_time AS history_mod_time
-FROM job_files c JOIN job_files h ON c.cluster = h.cluster AND c.job_id = h.job_id
+SELECT 'all' AS cluster, c.job_id, c.path AS conf_path, c.mod_time AS conf_mod_time, h.path AS history_path, h.mod_time AS history_mod_time
+FROM job_files c JOIN job_files h ON c.job_id = h.job_id
 WHERE c.kind = 'conf' AND h.kind = 'history'""", "job_files")
 def paired_files(v: Views):
-    # conf and history of a job lie in one source folder here
+    # conf and history of a job lie in different source folders here; take all as one cluster
     files = _classified(v).withColumn("cluster", F.lit("all"))
     return R.pair_files(files)
 
@@ -84,8 +85,6 @@ def files_not_archived(v: Views):
 
 @query("files_in_order", "W8", "SELECT *, CAST(row_number() OVER (ORDER BY mod_time, path) AS BIGINT) AS position FROM files", "files")
 def files_in_order(v: Views):
-    from ...operators.ordering import with_position
-
     return with_position(v.files(), [F.col("mod_time"), F.col("path")])
 
 

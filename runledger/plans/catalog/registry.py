@@ -163,7 +163,7 @@ view_sql("versions", """
 SELECT cluster, user_name, app_id, version, min(run_id) AS first_seen FROM orders_k GROUP BY ALL""", "orders_k")
 
 view_sql("flow_event", """
-SELECT 'c' || (user_id % 3) AS cluster, user_id AS flow_id, event_id AS sequence, epoch_ms(ts) AS ts,
+SELECT 'c' || (user_id % 3) AS cluster, user_id AS flow_id, event_id AS sequence, epoch_us(ts) // 1000 AS ts,
   event_type AS type, props AS data FROM events""")
 view_sql("updates", """
 SELECT 'c' || (user_id % 3) AS cluster, user_id AS flow_id, user_id * 1000 AS ts,
@@ -175,7 +175,7 @@ SELECT * FROM updates QUALIFY row_number() OVER (PARTITION BY cluster, flow_id O
          "updates")
 view_sql("usage_writes", """
 SELECT 'c' || (user_id % 3) AS cluster, '/' || event_type || '/' || (user_id % 20) AS path, 'ns' || (k % 3) AS namespace,
-  CAST(epoch_ms(ts) // 1000 - (epoch_ms(ts) // 1000) % 3600 AS BIGINT) AS run_id,
+  CAST(epoch_us(ts) // 1000000 - (epoch_us(ts) // 1000000) % 3600 AS BIGINT) AS run_id,
   k AS file_count, k % 5 AS dir_count, CAST(round(value * 100) AS BIGINT) AS space_consumed,
   event_id % 100 AS access_count, k * 10 AS quota, k * 100 AS space_quota,
   CAST(0 AS BIGINT) AS tmp_file_count, CAST(0 AS BIGINT) AS tmp_space_consumed, k % 2 AS trash_file_count,
