@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .registry import ITEMS, QUERIES, SQL  # noqa: F401
+from .registry import ITEMS, QUERIES, sql_texts  # noqa: F401
 from . import apps, events, files, flows, functions, jobs, logs, reads, storage, streams  # noqa: F401

@@ -10,7 +10,7 @@ from ..views import Views
 from .registry import TOTALS, WEEK, app_summary_sql, flows_sql, period_sql, query, queue_list, sums
 
 WINDOW = (820454400000, 899251200000)
-FIRST_SEEN = (757382400000, 800000000000)
+FIRST_SEEN = (790000000000, 800000000000)
 _APP = ", ".join(APP_KEY)
 
 
@@ -95,20 +95,25 @@ def versions_newest_first(v: Views):
 
 
 @query("new_apps", "P27", f"""
-SELECT {_APP}, min(first_seen) AS first_seen FROM versions GROUP BY {_APP}
+SELECT {_APP}, min(first_seen) AS first_seen FROM versions WHERE version = 'P' GROUP BY {_APP}
 HAVING min(first_seen) BETWEEN {FIRST_SEEN[0]} AND {FIRST_SEEN[1]}""", "versions")
 def new_apps(v: Views):
-    return O.new_apps(v.app_version(), *FIRST_SEEN)
+    # an application counts as new when it first left a partial job
+    return O.new_apps(v.app_version().filter(F.col("version") == "P"), *FIRST_SEEN)
+
+
+_WHOLE_JOBS = f"(SELECT * FROM job_history WHERE version <> 'P' AND run_id > {FIRST_SEEN[0]} AND run_id <= {FIRST_SEEN[1]})"
 
 
 @query("new_app_summaries", "J3 N5", f"""
 SELECT {_APP}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ['number_runs', 'job_count', *TOTALS, 'first_run_id', 'last_run_id'])},
   coalesce(queues, '') AS queues
-FROM (SELECT {_APP} FROM versions GROUP BY {_APP} HAVING min(first_seen) BETWEEN {FIRST_SEEN[0]} AND {FIRST_SEEN[1]})
-LEFT JOIN ({app_summary_sql('(' + flows_sql(f'(SELECT * FROM job_history WHERE run_id > {FIRST_SEEN[0]} AND run_id <= {FIRST_SEEN[1]})') + ')')})
+FROM (SELECT {_APP} FROM versions WHERE version = 'P' GROUP BY {_APP} HAVING min(first_seen) BETWEEN {FIRST_SEEN[0]} AND {FIRST_SEEN[1]})
+LEFT JOIN ({app_summary_sql('(' + flows_sql(_WHOLE_JOBS) + ')')})
 USING ({_APP})""", "versions job_history")
 def new_app_summaries(v: Views):
-    return O.new_app_summaries(v.app_version(), v.job_history(), *FIRST_SEEN)
+    partial = v.app_version().filter(F.col("version") == "P")
+    return O.new_app_summaries(partial, v.job_history().filter(F.col("version") != "P"), *FIRST_SEEN)
 
 
 @query("jobs_not_aggregated", "J10", """

@@ -14,14 +14,14 @@ from .apps import _merged_days
 
 CLUSTER, USER, APP = "ASIA", "MACHINERY", "3-MEDIUM"
 NOW = 883612800000  # 1998-01-01
+NEW_NOW = 796694400000 + 43200000  # 1995-04-01 12:00
 _WHERE = f"cluster = '{CLUSTER}' AND user_name = '{USER}' AND app_id = '{APP}'"
 
 
 @query("read_job", "X3 P1", f"""
-SELECT job_id, total_maps, queue FROM job_history WHERE cluster = '{CLUSTER}' AND job_seq =
-  (SELECT min(job_seq) FROM job_history WHERE cluster = '{CLUSTER}' AND job_seq = 11)""", "job_history")
+SELECT job_id, total_maps, queue FROM job_history WHERE cluster = '{CLUSTER}' AND job_id = 'job_1_0017'""", "job_history")
 def read_job(v: Views):
-    return R.job(v.job_history(), CLUSTER, "job_1_0011").select("job_id", "total_maps", "queue")
+    return R.job(v.job_history(), CLUSTER, "job_1_0017").select("job_id", "total_maps", "queue")
 
 
 @query("read_tasks", "X3 P2", "SELECT job_id, task_key, task_millis FROM tasks WHERE job_id = 'job_1_0012'", "tasks")
@@ -31,9 +31,9 @@ def read_tasks(v: Views):
 
 @query("read_job_flow", "X3 J1", """
 SELECT job_id FROM orders_k WHERE (cluster, user_name, app_id, run_id) IN
-  (SELECT (cluster, user_name, app_id, run_id) FROM orders_k WHERE job_seq = 23 AND cluster = 'AMERICA')""", "orders_k")
+  (SELECT (cluster, user_name, app_id, run_id) FROM orders_k WHERE job_seq = 3 AND cluster = 'AMERICA')""", "orders_k")
 def read_job_flow(v: Views):
-    return R.job_flow(v._orders(), "AMERICA", "job_1_0023").select("job_id")
+    return R.job_flow(v._orders(), "AMERICA", "job_1_0003").select("job_id")
 
 
 @query("read_flow_series", "X3 P5 W1 P28", f"""
@@ -88,19 +88,19 @@ def read_storage_series(v: Views):
     return R.at_detail(R.storage_series(v.hdfs_usage(), "c1", "/click/7", _STORE_NOW + 864000, limit=8), "storage")
 
 
-_FRESH = app_summary_sql("(" + flows_sql(f"(SELECT * FROM job_history WHERE cluster = '{CLUSTER}' AND run_id > {NOW - 86400000} AND run_id <= {NOW})") + ")")
+_FRESH = app_summary_sql("(" + flows_sql(f"(SELECT * FROM job_history WHERE cluster = '{CLUSTER}' AND run_id > {NEW_NOW - 86400000} AND run_id <= {NEW_NOW})") + ")")
 
 
 @query("read_new_apps", "X3 J3 P28", f"""
 SELECT cluster, user_name, app_id, number_runs, first_run_id, last_run_id, job_count, total_maps, total_reduces,
   map_slot_millis, reduce_slot_millis, mb_millis, queues FROM (
   SELECT cluster, user_name, app_id FROM versions WHERE cluster = '{CLUSTER}' AND version = 'P'
-  GROUP BY ALL HAVING min(first_seen) BETWEEN {NOW - 86400000} AND {NOW})
+  GROUP BY ALL HAVING min(first_seen) BETWEEN {NEW_NOW - 86400000} AND {NEW_NOW})
 JOIN ({_FRESH}) USING (cluster, user_name, app_id)""", "versions job_history")
 def read_new_apps(v: Views):
     # applications count as new when they first left a partial job, so some are new on that day
     partial = v.app_version().filter(F.col("version") == "P")
-    return R.new_apps(partial, v.job_history(), CLUSTER, NOW)
+    return R.new_apps(partial, v.job_history(), CLUSTER, NEW_NOW)
 
 
 @query("read_all_apps", "X3 A9 P28", f"""

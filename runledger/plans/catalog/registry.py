@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 ITEMS: dict[str, str] = {}
 
+_SQL: dict[str, tuple[str, list[str]]] = {}
 _NEEDS: dict[str, list[str]] = {}
 _VIEW_SQL: dict[str, str] = {}
 
@@ -23,12 +23,17 @@ def query(name: str, items: str, sql: str | None = None, views: str = ""):
         QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
         ITEMS[name] = items
         if sql is not None:
-            SQL[name] = with_views(sql, views.split())
+            _SQL[name] = (sql, views.split())
         return build
 
     return register
 
 
+def sql_texts() -> dict[str, str]:
+    """The SQL of every query that has one, with the views it reads put in front."""
+    return {name: with_views(text, views) for name, (text, views) in _SQL.items()}
+
+
 def view_sql(name: str, text: str, needs: str = "") -> None:
     _VIEW_SQL[name] = text
     _NEEDS[name] = needs.split()
