@@ -62,7 +62,7 @@ def app_names(v: Views):
         F.lit("PigLatin:"), name, F.when(size % 2 == 0, F.lit(":daily")).otherwise(F.lit("")),
         F.lit("_"), F.lpad(size.cast("string"), 4, "0"), F.lit("/x"),
     )
-    tail = F.when(size % 3 == 0, F.concat(F.lit("/("), size.cast("string"), F.lit("/50)... [end] "))).otherwise(F.lit("/(a/b)"))
+    tail = F.when(size % 3 == 0, F.concat(F.lit("/("), size.cast("string"), F.lit("/50)... end "))).otherwise(F.lit("/(a/b)"))
     jobs = v.table("part").withColumn("conf", C.wide_to_map(values))
     return jobs.select(
         "p_partkey",
@@ -75,7 +75,7 @@ def app_names(v: Views):
 
 
 @query("job_descriptions", "X1 F7 F9 F10 F11 F12", """
-SELECT job_id, framework, replace(app_id, ' ', '_') AS app,
+SELECT job_id, framework, replace(app_id, ' ', '_') || CASE WHEN framework = 'PIG' THEN '[' || job_seq || ']' ELSE '' END AS app,
   CASE framework WHEN 'PIG' THEN CASE WHEN version = 'F' THEN run_id ELSE submit_time END
     WHEN 'NONE' THEN CASE WHEN version = 'F' THEN run_id ELSE submit_time END
     ELSE CASE WHEN h > 9223372036854775807 THEN submit_time
