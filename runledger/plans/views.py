@@ -25,17 +25,24 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a file stream."""
+        # the bracket makes the path a pattern, which lets it be one file as well as a folder
+        path = os.path.join(self.dir, f"{name}.parque[t]")
+        return self.spark.readStream.schema(self.table(name).schema).parquet(path)
+
     # --- jobs -------------------------------------------------------------------------------
 
-    def _orders(self) -> DataFrame:
-        """Orders with the key columns of a job."""
+    def _orders(self, orders: DataFrame | None = None) -> DataFrame:
+        """Orders with the key columns of a job; ``orders`` may be a stream of the table."""
         places = (
             self.table("customer")
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("c_custkey", "c_mktsegment", "n_name", "r_name")
         )
-        return self.table("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
+        orders = self.table("orders") if orders is None else orders
+        return orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("r_name").alias("cluster"),
             F.col("c_mktsegment").alias("user_name"),
             F.col("o_orderpriority").alias("app_id"),
@@ -81,10 +88,10 @@ class Views:
             T.millis(F.max("l_shipdate")).alias("finish_time"),
         )
 
-    def job_history(self) -> DataFrame:
+    def job_history(self, orders: DataFrame | None = None) -> DataFrame:
         measures = self._measures()
         names = [c for c in measures.columns if c != "l_orderkey"]
-        jobs = self._orders().join(measures, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        jobs = self._orders(orders).join(measures, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         zero = F.lit(0).cast("bigint")
         jobs = jobs.withColumns({c: F.coalesce(c, zero) for c in names})
         mb = F.col("map_slot_millis") * 2 + F.col("reduce_slot_millis") * 3
