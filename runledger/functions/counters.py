@@ -13,8 +13,10 @@ CELLS = f"array<{CELL}>"
 NESTED = "map<string,map<string,bigint>>"
 
 # Layout of the compact text form {(group)(label)[(name)(label)(value)]...}...
-_TOKEN = r"\(((?:[^()\\]|\\.)*)\)"
-GROUP_PATTERN = r"\{" + _TOKEN + _TOKEN + r"((?:\[(?:[^\[\]\\]|\\.)*\])*)\}"
+# Possessive, so a long text is read once and never backtracked into.
+_TOKEN = r"\(([^()\\]*+(?:\\.[^()\\]*+)*+)\)"
+_BLOCK = r"\[[^\[\]\\]*+(?:\\.[^\[\]\\]*+)*+\]"
+GROUP_PATTERN = r"\{" + _TOKEN + _TOKEN + r"((?:" + _BLOCK + r")*+)\}"
 COUNTER_PATTERN = r"\[" + _TOKEN + _TOKEN + r"\((-?[0-9]+)\)\]"
 
 JSON_COUNTERS = (
@@ -35,14 +37,14 @@ JSON_KINDS = {
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(.)", "$1")
+    return F.when(text.contains("\\"), F.regexp_replace(text, r"\\(.)", "$1")).otherwise(text)
 
 
 def from_text(compact: Column) -> Column:
     """Cells of the compact text form. Text that is not well formed yields no cells."""
     groups = F.regexp_extract_all(compact, F.lit(GROUP_PATTERN), F.lit(0))
-    # what is left after taking every well-formed group away must be nothing
-    well_formed = F.trim(F.regexp_replace(compact, GROUP_PATTERN, "")) == ""
+    # the well-formed groups must make up the whole text
+    well_formed = F.array_join(groups, "") == F.trim(compact)
 
     def cells(group: Column) -> Column:
         name = unescape(F.regexp_extract(group, GROUP_PATTERN, 1))

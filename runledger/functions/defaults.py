@@ -118,5 +118,5 @@ def _literal_map(pairs: dict) -> Column:
 
 def stored_field_name(name: Column) -> Column:
     """JSON field name to stored field name; null when neither form is known."""
-    known = {f: f for f in KNOWN_FIELDS}
-    return F.try_element_at(_literal_map({**known, **JSON_FIELD_NAMES}), name)
+    renamed = F.try_element_at(_literal_map(JSON_FIELD_NAMES), name)
+    return F.coalesce(renamed, F.when(name.isin(*KNOWN_FIELDS), name))

@@ -25,7 +25,15 @@ def job_seq(job_id: Column) -> Column:
 
 
 def job_id_string(epoch: Column, seq: Column) -> Column:
-    return F.format_string("job_%d_%04d", epoch, seq)
+    """``job_<epoch>_<seq>`` with at least four digits for the sequence."""
+    # format_string is many times slower than this; it is only needed for a sign among the zeros
+    digits = seq.cast("string")
+    padded = (
+        F.when(seq < 0, F.format_string("%04d", seq))
+        .when(seq < 10000, F.lpad(digits, 4, "0"))
+        .otherwise(digits)
+    )
+    return F.concat(F.lit("job_"), epoch.cast("string"), F.lit("_"), padded)
 
 
 def require_job_id(job_id: Column) -> Column:
