@@ -211,7 +211,7 @@ def counters_from_text(v: Views):
         F.lit(")][("), state, F.lit(")(x)("), F.col("l_linenumber").cast("string"), F.lit(")]}{(money)(money)[(cents)(cents)("),
         cents(F.col("l_extendedprice")).cast("string"), F.lit(")]}"),
     )
-    return v.table("lineitem").select(*_LINE, F.inline(K.from_text(compact)))
+    return v.spread_table("lineitem").select(*_LINE, F.inline(K.from_text(compact)))
 
 
 @query("counters_from_broken_text", "F27", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS cells FROM part")
@@ -237,7 +237,7 @@ def counters_from_json(v: Views):
             F.struct(F.lit("money").alias("name"), F.array(count(F.lit("cents"), cents(F.col("l_extendedprice")))).alias("counts")),
         ).alias("groups"),
     )
-    parsed = v.table("lineitem").select(*_LINE, K.parse_json(F.to_json(record)).alias("p"))
+    parsed = v.spread_table("lineitem").select(*_LINE, K.parse_json(F.to_json(record)).alias("p"))
     return parsed.select(K.json_kind(F.col("p")).alias("kind"), *_LINE, F.inline(K.from_json(F.col("p"))))
 
 

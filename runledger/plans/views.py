@@ -25,6 +25,16 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
 
+    def spread_table(self, name: str) -> DataFrame:
+        """A table for work that costs far more than its rows weigh, such as parsing.
+
+        A table that is one small file is one task; only then are its rows dealt out. A table
+        with a task for every core, as any large one has, is read as it is.
+        """
+        rows = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     def stream(self, name: str) -> DataFrame:
         """A table as a file stream."""
         # the bracket makes the path a pattern, which lets it be one file as well as a folder
@@ -114,9 +124,9 @@ class Views:
             *task_columns(),
         )
 
-    def tasks_only(self) -> DataFrame:
+    def tasks_only(self, rows: DataFrame | None = None) -> DataFrame:
         """Task rows keyed by job id alone, straight from the scan."""
-        return self.table("lineitem").select(
+        return (self.table("lineitem") if rows is None else rows).select(
             F.lit(1).cast("bigint").alias("job_epoch"),
             F.col("l_orderkey").alias("job_seq"),
             ids.job_id_string(F.lit(1), F.col("l_orderkey")).alias("job_id"),
