@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,20 +36,15 @@ def build_session(app_name: str = "runledger", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and written intermediate tables.
 
-    A machine-local folder is only made up for a local master, where driver and
-    executors are one process; a cluster has to name a folder all executors see.
+    Where none is named, a folder below the warehouse serves: like the tables
+    themselves, all executors see it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="runledger-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    below = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    spark.sparkContext.setCheckpointDir(below)
+    return below
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
