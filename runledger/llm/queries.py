@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 SQL = {
