@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup
+from . import minhash_dedup, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 SQL = {
+    "op6_quality_rules": quality_rules.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
 }
