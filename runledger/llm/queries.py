@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality_rules, substring_dedup
+from . import minhash_dedup, quality_rules, substring_dedup, token_output, warc
 
 QUERIES = {
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_token_output": token_output.op7_token_output,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_warc": warc.op10_warc,
 }
 SQL = {
     "op6_quality_rules": quality_rules.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
