@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality_rules, substring_dedup, token_output, warc
+from . import minhash_dedup, packing, quality_rules, substring_dedup, token_output, warc
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_token_output": token_output.op7_token_output,

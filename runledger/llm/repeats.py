@@ -1,14 +1,16 @@
-"""Which hashes of which documents occur more than once, with one shuffle of packed blocks.
-
-Each map task packs the hashes of a block of documents by hash range: seven bytes of
-hash and about one byte of position each. A task of the second stage gets all packed
-hashes of one range, sorts them and names the positions of those found twice or more.
-A hash repeated within a block is settled there and sent once, so a hash that a third
-of all documents hold reaches its range once per block.
+"""Which hashes of which documents occur more than once, with one large shuffle of packed blocks.
+
+Each map task packs the hashes of a block of documents by hash range: seven bytes of hash and
+about one byte of place each. A task of the second stage gets all packed hashes of one range,
+sorts them and names those found twice or more by block and place; a third stage turns the
+places of a block into positions of its documents. A hash repeated within a block is settled
+there and sent once, so a hash that a third of all documents hold reaches its range once per
+block. Blocks are named by their content, so a task that runs again names them alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ranges, text_bytes
+from .common import U64, text_bytes
 
-PACKED = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
-PACKED_DDL = "part long, docs binary, counts binary, places binary, hashes binary"
+PACKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("at", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+PACKED_DDL = "part long, block long, at binary, hashes binary, docs binary, counts binary, places binary"
+FOUND_DDL = "block long, at binary, docs binary, counts binary, places binary"
 KEY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("text_hash", "<i4")])
 BLOCK = 1_000_000
-PER_PART = 4_000_000
+PER_PART = 2_000_000
 
-#: For each text of a list: hashes of all texts in a row, their positions, and how many each text has.
+#: For a list of texts: the hashes of all in a row, their positions in their texts, and how many each text has.
 Hasher = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -38,82 +41,73 @@ def unplaned(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def packed(part: int, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray | None) -> tuple:
-    """One row; ``doc`` is sorted, places ascend within a document."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    steps = np.diff(place, prepend=0)
-    steps[first] = place[first]
-    counts = np.diff(np.r_[first, len(doc)])
-    raw = b"" if hashes is None else np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-    return part, keys[doc[first]].tobytes(), planes(counts), planes(steps), raw
-
-
-def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, counts per key, places."""
-    counts, steps = unplaned(row.counts), unplaned(row.places)
-    sums = np.cumsum(steps)
-    first = np.cumsum(counts) - counts
-    return np.frombuffer(row.docs, KEY), counts, sums - np.repeat(sums[first] - steps[first], counts)
+def ascending(b: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(b))
 
 
 def block_rows(keys: np.ndarray, counts: np.ndarray, places: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tuple]:
-    doc = np.repeat(np.arange(len(keys)), counts)
+    block = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "big") >> 1
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
     again, known = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     again[order[1:][same]] = True
     known[order[1:][same]] = True
     known[order[:-1][same]] = True
-    if known.any():
-        yield packed(parts + int(hashes[order[0]] % U64(parts)), keys, doc[known], places[known], None)
+    del order, same
+    steps = planes(np.diff(places, prepend=0) & 0xFFFFFFFF)
+    yield parts + block % parts, block, planes(np.diff(np.flatnonzero(known), prepend=0)), b"", keys.tobytes(), planes(counts), steps
     sent = np.flatnonzero(~again)
-    part = (((hashes[sent] >> U64(40)) * U64(parts)) >> U64(24)).astype(np.int64)
+    part = (((hashes[sent] >> U64(40)) * U64(parts)) >> U64(24)).astype(np.int32)
     by_part = np.argsort(part, kind="stable")
     sent, part = sent[by_part], part[by_part]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(part)] if len(cuts) else []):
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
         x = sent[a:b]
-        yield packed(int(part[a]), keys, doc[x], places[x], hashes[x])
+        raw = np.ascontiguousarray(hashes[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+        yield int(part[a]), block, planes(np.diff(x, prepend=0)), raw, b"", b"", b""
 
 
 def of_part(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keys and positions of the hashes of one part that occur twice or more."""
-    out: list[tuple] = []
-    sent = []
-    for row in rows.itertuples(index=False):
-        if row.hashes:
-            sent.append(row)
-        else:
-            out += listed(*unpacked(row))
-    if sent:
-        raw = np.zeros((sum(len(r.hashes) for r in sent) // 7, 8), np.uint8)
-        at = 0
-        for r in sent:
-            n = len(r.hashes) // 7
-            raw[at : at + n, :7] = np.frombuffer(r.hashes, np.uint8).reshape(-1, 7)
-            at += n
+    """The hashes of one part that occur twice or more, by block and place; block tables pass."""
+    told = rows[rows.hashes.str.len() == 0]
+    out = list(told[["block", "at", "docs", "counts", "places"]].itertuples(index=False, name=None))
+    sent = rows[rows.hashes.str.len() > 0]
+    if len(sent):
+        sizes = sent.hashes.str.len().to_numpy() // 7
+        ends = np.cumsum(sizes)
+        raw = np.zeros((ends[-1], 8), np.uint8)
+        for e, n, b in zip(ends, sizes, sent.hashes):
+            raw[e - n : e, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
         h = raw.view("<u8").ravel()
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
+        order = np.argsort(h)
+        h = h[order]
+        same = h[1:] == h[:-1]
         hit = np.zeros(len(h), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        at = 0
-        for r in sent:
-            n = len(r.hashes) // 7
-            mine = hit[at : at + n]
-            at += n
+        for e, n, block, at in zip(ends, sizes, sent.block, sent["at"]):
+            mine = hit[e - n : e]
             if mine.any():
-                keys, counts, places = unpacked(r)
-                doc = np.repeat(np.arange(len(keys)), counts)
-                out += listed(keys, np.bincount(doc[mine], minlength=len(keys)), places[mine])
-    return pd.DataFrame(out, columns=["doc_id", "text_hash", "places"]).astype({"doc_id": "Int64", "text_hash": "int32"})
-
-
-def listed(keys: np.ndarray, counts: np.ndarray, places: np.ndarray) -> list[tuple]:
+                out.append((block, planes(np.diff(ascending(at)[mine], prepend=0)), b"", b"", b""))
+    return pd.DataFrame(out, columns=["block", "at", "docs", "counts", "places"]).astype({"block": "int64"})
+
+
+def of_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one block with the positions of their repeated hashes."""
+    table = rows[rows.docs.str.len() > 0].iloc[0]
+    keys, counts = np.frombuffer(table.docs, KEY), unplaned(table.counts)
+    places = (np.cumsum(unplaned(table.places)) & 0xFFFFFFFF).astype("<u4")
+    hit = np.zeros(len(places), bool)
+    for at in rows["at"]:
+        if at:
+            hit[ascending(at)] = True
     ends = np.cumsum(counts)
-    raw = places.astype("<u4")
-    return [(pd.NA if k["null"] else int(k["doc_id"]), int(k["text_hash"]), raw[e - c : e].tobytes()) for k, c, e in zip(keys, counts, ends) if c]
+    got = np.add.reduceat(np.r_[hit, False].astype(np.int64), ends - counts) * (counts > 0)
+    out = [
+        (None if k["null"] else int(k["doc_id"]), int(k["text_hash"]), places[e - c : e][hit[e - c : e]].tobytes())
+        for k, c, e, n in zip(keys, counts, ends, got) if n
+    ]
+    return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], "Int64"), "text_hash": np.array([x[1] for x in out], np.int32), "places": [x[2] for x in out]})
 
 
 def repeated_places(rows: DataFrame, hasher: Hasher, expected: int) -> DataFrame:
@@ -130,7 +124,7 @@ def repeated_places(rows: DataFrame, hasher: Hasher, expected: int) -> DataFrame
 
         def flushed() -> pa.RecordBatch:
             keys, counts, places, hashes = (np.concatenate(x) for x in zip(*held))
-            cols = list(zip(*block_rows(keys, counts, places, hashes, parts))) or [[]] * 5
+            cols = zip(*block_rows(keys, counts, places, hashes, parts))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED)], schema=PACKED)
 
         for batch in batches:
@@ -154,7 +148,9 @@ def repeated_places(rows: DataFrame, hasher: Hasher, expected: int) -> DataFrame
         rows.mapInArrow(pack, PACKED_DDL)
         .repartition(2 * parts, "part")
         .groupBy("part")
-        .applyInPandas(of_part, "doc_id long, text_hash int, places binary")
+        .applyInPandas(of_part, FOUND_DDL)
+        .groupBy("block")
+        .applyInPandas(of_block, "doc_id long, text_hash int, places binary")
     )
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))
 
