@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, token_output, warc
+from . import decontamination, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, token_output, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_token_output": token_output.op7_token_output,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
