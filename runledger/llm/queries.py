@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, token_output, warc
+from . import decontamination, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_output, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
