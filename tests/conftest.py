@@ -9,11 +9,13 @@ from runledger.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    work = tmp_path_factory.mktemp("work")
     session = build_session(
         "runledger-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-           "spark.ui.showConsoleProgress": "false"},
+           "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{work}/shared",
+           "spark.sql.warehouse.dir": f"file://{work}/warehouse"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

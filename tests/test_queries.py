@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from runledger.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "orders", "lineitem", "events", "documents", "part", "supplier"]
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.sql_texts()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -62,5 +63,10 @@ def test_no_cross_joins_and_no_python_in_any_batch_plan(spark):
             assert bad not in text, (name, bad)
 
 
+def test_entry_lists_every_query_and_its_sql():
+    assert QUERIES.keys() <= entry_module.queries().keys()
+    assert SQL.keys() <= entry_module.oracle_sql().keys() <= entry_module.queries().keys()
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).limit(1).count() == 1
