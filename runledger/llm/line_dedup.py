@@ -144,27 +144,24 @@ def removals(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS
     return again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def with_removals(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with a column ``removed`` (line numbers, null: none)."""
-    gone = removals(docs, **settings).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
-    text_hash = F.hash(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left").drop("gone_id", "gone_hash")
-
-
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, **settings) -> DataFrame:
-    """``docs`` without repeated lines, n_chars (if there) brought up to date.
+    """``docs`` without repeated lines, n_chars (if there) brought up to date, other columns as they are.
 
     A document that loses lines and keeps fewer than ``least_words`` words goes as a whole. Null
     and empty texts have no lines and stay. Rows equal in id and text share one outcome; a null
     id comes last in the order of documents. An empty table stays empty.
     """
-    rows = once(with_removals(docs, **settings), kept_text=F.when(F.col("removed").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    boxed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"))
+    gone = removals(docs, **settings)
+    rows = boxed.join(gone, same_key(boxed, gone), "left").select("row", "removed")
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    rows = once(rows, kept_text=F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left))
     rows = rows.where(F.col("removed").isNull() | (F.regexp_count("kept_text", F.lit(WORD)) >= least_words))
     changes = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changes.get(c, F.col(c)).alias(c) for c in docs.columns])
+        changes["n_chars"] = F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@
    rarely are.
 3. First each list compares its members with one pivot, the member whose values are the most
    common (in a family of copies: the one they stem from). Members linked through it need no
-   comparison with each other. Then the pairs of a list that are still in different
-   components are compared, all of them.
+   comparison with each other. Members of lists that still hold several components are then
+   joined on their full sets with exact prefixes: two sets of given sizes that reach the
+   threshold share a value near the rare end of both. A copy too far from its family's origin
+   has only values of its own there, so a family does not turn into all its pairs.
 4. Pairs are compared by the share of common values in the k smallest of the union of both
    sketches, and confirmed on the full shingle sets of both texts.
 
@@ -123,6 +125,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long")
 
 
+def close_in_full(texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Pairs (a, b), a < b, of ``texts`` (node, component, text) in different components whose
+    full sets may reach the threshold, by prefixes in order of rarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
+                found = shingle_sets(text_bytes(piece.column("text")), size)
+                ends = np.cumsum([0] + [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("node"), piece.column("component"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))],
+                    names=["node", "component", "shingles"])
+
+    values = texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, shingles array<long>")
+    values = values.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    values = values.repartition("value").withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
+    of_node = W.partitionBy("node")
+    values = values.withColumn("shared", F.count("*").over(of_node)).withColumn("at", F.col("n") - F.col("shared") + F.row_number().over(of_node.orderBy("df", "value")))
+    values = values.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).drop("df", "shared")
+    x = values.toDF("a", "c_a", "n_a", "value", "at_a")
+    y = values.toDF("b", "c_b", "n_b", "value", "at_b")
+    common = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (100 + threshold))
+    return (
+        x.join(y, "value")
+        .where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near_in_size("n_a", "n_b", threshold))
+        .where((F.col("at_a") <= F.col("n_a") - common + 1) & (F.col("at_b") <= F.col("n_b") - common + 1))
+        .select("a", "b").distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, k: int = K, least_common: int = LEAST_COMMON) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
 
@@ -163,25 +196,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     best = pinned(best, "pairs")
 
     rows = keyed(docs)
-    named = classes.select("node", "doc_id", "text_hash")
-    texts_of = lambda pairs: pinned(
-        rows.join(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), same_key(rows, named))
-        .select("node", "text").dropDuplicates(["node"]), "texts")
-    links = pinned(confirmed(best, texts_of(best), size, threshold), "confirmed")
+    named = classes.select("node", "doc_id", "text_hash").join(lists.select("node").distinct(), "node")
+    texts = pinned(rows.join(named, same_key(rows, named)).select("node", "text").dropDuplicates(["node"]), "texts")
+    links = pinned(confirmed(best, texts, size, threshold), "confirmed")
     labels = components(links)
 
-    placed = lists.join(labels, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    x = placed.join(open_lists, "value")
-    y = x.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = (
-        x.join(y, "value").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("c_b")) & near_in_size("n", "n_b", threshold))
-        .select(F.col("node").alias("a"), "b").distinct()
-    )
-    rest = pinned(estimated(rest, nodes, k, least_common).join(best, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = pinned(confirmed(rest, texts_of(rest), size, threshold), "confirmed")
-        labels = components(links.union(more))
+    placed = lists.join(labels, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
+    still_open = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+    open_nodes = placed.join(still_open, "value").select("node", "component").distinct()
+    rest = pinned(close_in_full(texts.join(open_nodes, "node"), size, threshold).join(best, ["a", "b"], "left_anti"), "rest")
+    more = confirmed(estimated(rest, nodes, k, least_common), texts, size, threshold)
+    labels = components(links.union(more))
 
     names = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -121,18 +121,24 @@ def cascade(rules: dict[str, Column], order: list[str]) -> Column:
 
 
 def judged(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """``docs`` with ``failed_rule`` (the first in cascade order, null: kept).
+    """``docs`` with ``failed_rule``: the rule that rejects the text (the first in cascade order),
+    null if none does. A column of that name is replaced, all others stay as they are.
 
-    Null and empty texts fail few_words. Every row, repeated ones too, is judged by itself;
-    columns named q_* are reserved, others stay as they are; an empty table stays empty.
+    Null and empty texts fail few_words. Every row, repeated ones too, is judged by itself; an
+    empty table stays empty.
     """
     rules = rules or default_rules()
-    order = ordered(docs, rules)
-    return once(with_measures(docs), failed_rule=cascade(rules, order)).drop("q_text", "q_words", "q_lines")
+    boxed = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("text"))
+    found = once(with_measures(boxed), failed_rule=cascade(rules, ordered(docs, rules)))
+    return found.select(*[F.col("q_row")[c].alias(c) for c in docs.columns if c != "failed_rule"], "failed_rule")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    return judged(docs).where("failed_rule IS NULL").drop("failed_rule")
+def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, all columns as they are (see :func:`judged`)."""
+    rules = rules or default_rules()
+    boxed = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("text"))
+    found = once(with_measures(boxed), failed_rule=cascade(rules, ordered(docs, rules)))
+    return found.where("failed_rule IS NULL").select("q_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
