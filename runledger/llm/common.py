@@ -37,6 +37,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns under names that no operator uses, and the columns to select to
+    have them back. What an operator adds then cannot clash with what it passes through."""
+    names = [f"passed_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pinned, same_key, table
+from .common import aside, pinned, same_key, table
 from .components import components
 from .quality_rules import WORD, once
 
@@ -151,17 +151,19 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, **settings) ->
     and empty texts have no lines and stay. Rows equal in id and text share one outcome; a null
     id comes last in the order of documents. An empty table stays empty.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    boxed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"))
+    passed, back = aside(docs)
+    column = dict(zip(docs.columns, passed.columns))
+    passed = passed.withColumn("doc_id", F.col(column["doc_id"]).cast("long")).withColumn("text_hash", F.hash(F.coalesce(F.col(column["text"]), F.lit(""))))
     gone = removals(docs, **settings)
-    rows = boxed.join(gone, same_key(boxed, gone), "left").select("row", "removed")
-    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    rows = once(rows, kept_text=F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left))
+    rows = passed.join(gone, same_key(passed, gone), "left").drop("doc_id", "text_hash")
+    left = F.array_join(F.filter(F.split(column["text"], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    rows = once(rows, kept_text=F.when(F.col("removed").isNull(), F.col(column["text"])).otherwise(left))
     rows = rows.where(F.col("removed").isNull() | (F.regexp_count("kept_text", F.lit(WORD)) >= least_words))
     changes = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+        n_chars = F.when(F.col("removed").isNull(), F.col(column["n_chars"])).otherwise(F.char_length("kept_text"))
+        changes["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changes[n].alias(n) if n in changes else c for n, c in zip(docs.columns, back)])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, aside, table
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -120,6 +120,14 @@ def cascade(rules: dict[str, Column], order: list[str]) -> Column:
     return first
 
 
+def _judged(docs: DataFrame, rules: dict[str, Column] | None) -> tuple[DataFrame, list[Column]]:
+    rules = rules or default_rules()
+    passed, back = aside(docs)
+    text = F.col(passed.columns[docs.columns.index("text")])
+    measured = with_measures(passed.withColumn("text", text))
+    return once(measured, failed_rule=cascade(rules, ordered(docs, rules))), back
+
+
 def judged(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``failed_rule``: the rule that rejects the text (the first in cascade order),
     null if none does. A column of that name is replaced, all others stay as they are.
@@ -127,18 +135,14 @@ def judged(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame
     Null and empty texts fail few_words. Every row, repeated ones too, is judged by itself; an
     empty table stays empty.
     """
-    rules = rules or default_rules()
-    boxed = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("text"))
-    found = once(with_measures(boxed), failed_rule=cascade(rules, ordered(docs, rules)))
-    return found.select(*[F.col("q_row")[c].alias(c) for c in docs.columns if c != "failed_rule"], "failed_rule")
+    found, back = _judged(docs, rules)
+    return found.select(*[c for c, n in zip(back, docs.columns) if n != "failed_rule"], "failed_rule")
 
 
 def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns as they are (see :func:`judged`)."""
-    rules = rules or default_rules()
-    boxed = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("text"))
-    found = once(with_measures(boxed), failed_rule=cascade(rules, ordered(docs, rules)))
-    return found.where("failed_rule IS NULL").select("q_row.*")
+    found, back = _judged(docs, rules)
+    return found.where("failed_rule IS NULL").select(*back)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
