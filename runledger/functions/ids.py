@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 JOB_KEY = ["cluster", "user_name", "app_id", "run_id", "job_epoch", "job_seq"]
@@ -36,6 +38,17 @@ def job_id_string(epoch: Column, seq: Column) -> Column:
     return F.concat(F.lit("job_"), epoch.cast("string"), F.lit("_"), padded)
 
 
+def is_job(job_id: str) -> Column:
+    """Rows of one job. For a well-formed id its numbers are compared too: unlike the id text,
+    which views work out, they reach the scan of the tables below."""
+    same = F.col("job_id") == job_id
+    parts = re.fullmatch(r"[^_]+_([+-]?[0-9]+)_([+-]?[0-9]+)", job_id.strip())
+    if not parts:
+        return same
+    epoch, seq = (F.lit(int(n)).cast("bigint") for n in parts.groups())
+    return same & (F.col("job_epoch") == epoch) & (F.col("job_seq") == seq)
+
+
 def require_job_id(job_id: Column) -> Column:
     """The id itself, or a failing row for callers that want malformed ids to be fatal."""
     bad = F.concat(F.lit("Invalid job id: "), F.coalesce(job_id, F.lit("null")))

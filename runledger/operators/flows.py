@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ids import APP_KEY, FLOW_KEY
+from ..functions.ids import APP_KEY, FLOW_KEY, is_job
 from .ordering import page
 
 SUMS = [
@@ -27,6 +27,11 @@ def _solo_parts() -> dict[str, Column]:
     }
 
 
+def with_solo(jobs: DataFrame) -> DataFrame:
+    """Jobs with the two columns that complete the flow key of a job without a run id."""
+    return jobs.withColumns(_solo_parts())
+
+
 def app_jobs(jobs: DataFrame, cluster: str, user: str, app: str) -> DataFrame:
     return jobs.filter((F.col("cluster") == cluster) & (F.col("user_name") == user) & (F.col("app_id") == app))
 
@@ -98,7 +103,7 @@ def explode_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
 def counter_sums(jobs: DataFrame) -> DataFrame:
     """Counter sums per flow."""
     keyed = jobs.withColumns(_solo_parts())
-    return sum_counters(explode_counters(keyed, [*FLOW_KEY, *SOLO]), [*FLOW_KEY, *SOLO]).drop(*SOLO)
+    return sum_counters(explode_counters(keyed, [*FLOW_KEY, *SOLO]), [*FLOW_KEY, *SOLO])
 
 
 def sum_counters(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,13 +141,19 @@ def newest_flow_summaries(jobs: DataFrame, limit: int) -> DataFrame:
 
 
 def latest_flow(jobs: DataFrame, cluster: str, user: str, app: str) -> DataFrame:
-    return newest_flow_summaries(app_jobs(jobs, cluster, user, app), 1).drop(*SOLO)
+    return newest_flow_summaries(app_jobs(jobs, cluster, user, app), 1)
 
 
-def flow_of_job(jobs: DataFrame, cluster: str, job_id: str) -> DataFrame:
-    """All jobs of the flow one job belongs to."""
-    one = jobs.filter((F.col("cluster") == cluster) & (F.col("job_id") == job_id)).select(*FLOW_KEY)
-    return jobs.join(one, FLOW_KEY, "left_semi")
+def flow_of_job(jobs: DataFrame, cluster: str | None, job_id: str) -> DataFrame:
+    """All jobs of the flow one job belongs to; without a cluster, in every cluster that knows it.
+
+    The flow key comes from the rows of that job alone. A job without a run id is a flow of its own.
+    """
+    keyed = jobs.withColumns(_solo_parts())
+    one = keyed.filter(is_job(job_id))
+    if cluster is not None:
+        one = one.filter(F.col("cluster") == cluster)
+    return keyed.join(one.select(*FLOW_KEY, *SOLO), [*FLOW_KEY, *SOLO], "left_semi").select(*jobs.columns)
 
 
 def jobs_with_tasks(jobs: DataFrame, tasks: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -167,12 +178,20 @@ def flow_stats_page(
     version: str | None = None,
     start: int = 0,
     end: int = 0,
-    start_run_id: int | None = None,
+    start_key: tuple[int, int, int] | None = None,
 ) -> DataFrame:
-    """A page of flow statistics, newest first; never touches the conf column."""
+    """A page of flow statistics, newest first; never touches the conf column.
+
+    ``start_key`` is the (run_id, solo_epoch, solo_seq) the page begins with; a limit of 0 gives
+    all flows as one page.
+    """
     rows = of_version(run_window(app_jobs(jobs, cluster, user, app), start, end), version)
-    at = None if start_run_id is None else F.col("run_id") <= start_run_id
-    return page(roll_up(rows), _newest_first(), limit, at).drop(*SOLO)
+    at = None
+    if start_key is not None:
+        run_id, *solo = start_key
+        behind = F.struct(*SOLO) >= F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(SOLO, solo)])
+        at = (F.col("run_id") < run_id) | ((F.col("run_id") == run_id) & behind)
+    return page(roll_up(rows), _newest_first(), limit, at)
 
 
 def order_newest_first(flows: DataFrame) -> DataFrame:

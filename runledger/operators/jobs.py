@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import counters as K, defaults as D
-from ..functions.ids import JOB_KEY
+from ..functions.ids import JOB_KEY, is_job
 
 # The counters job statistics come from, by history version.
 STAT_COUNTERS = {
@@ -34,11 +34,11 @@ TASK_COUNTS = [
 
 
 def job_by_id(jobs: DataFrame, cluster: str, job_id: str) -> DataFrame:
-    return jobs.filter((F.col("cluster") == cluster) & (F.col("job_id") == job_id))
+    return jobs.filter((F.col("cluster") == cluster) & is_job(job_id))
 
 
 def tasks_of_job(tasks: DataFrame, cluster: str, job_id: str) -> DataFrame:
-    return tasks.filter((F.col("cluster") == cluster) & (F.col("job_id") == job_id))
+    return tasks.filter((F.col("cluster") == cluster) & is_job(job_id))
 
 
 def stat_expressions() -> dict[str, Column]:

@@ -40,12 +40,14 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
 
 
 def page(df: DataFrame, order: list[Column], limit: int, start: Column | None = None) -> DataFrame:
-    """One page in a total order: ``limit`` rows plus the first row of the next page.
+    """One page in a total order: ``limit`` rows plus the first row of the next page; 0: all rows.
 
     ``start`` is the condition "at or behind the start key". The extra row is marked
     ``is_next``; its key is the start key of the following page.
     """
     rows = df if start is None else df.filter(start)
+    if limit == 0:
+        return with_position(rows, order, "page_row").withColumn("is_next", F.lit(False))
     cut = rows.orderBy(*order).limit(limit + 1)
     # the window sees limit + 1 rows
     numbered = cut.withColumn("page_row", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions.ids import FLOW_KEY, JOB_KEY
+from ...functions.ids import FLOW_KEY, JOB_KEY, is_job
 from ...operators import flows as O, jobs as J
 from ..views import Views
 from .registry import MEASURES, flows_sql, query
@@ -58,7 +58,7 @@ def latest_flow(v: Views):
 SELECT {_KEYS}, kind, counter_group, counter_name, CAST(sum(value) AS BIGINT) AS value
 FROM orders_k JOIN cells ON job_seq = l_orderkey GROUP BY ALL""", "orders_k cells")
 def flow_counter_sums(v: Views):
-    return O.counter_sums(v.jobs_with_counters())
+    return O.counter_sums(v.jobs_with_counters()).drop(*O.SOLO)
 
 
 @query("flow_by_run", "P3", flows_sql("(SELECT * FROM job_history WHERE cluster = 'AMERICA' AND user_name = 'BUILDING' AND app_id = '2-HIGH' AND run_id = 844128000000)"),
@@ -97,23 +97,20 @@ def _page_sql(limit: int, extra: str) -> str:
 
 @query("flow_stats_page", "W13 P7", _page_sql(4, ""), "job_history")
 def flow_stats_page(v: Views):
-    return O.flow_stats_page(v.job_history(), *APP, limit=4, start=WINDOW[0], end=WINDOW[1])
+    return O.flow_stats_page(v.job_history(), *APP, limit=4, start=WINDOW[0], end=WINDOW[1]).drop(*O.SOLO)
 
 
 @query("flow_stats_next_page", "W13 P6 P7", _page_sql(3, " AND version = 'F' AND run_id <= 870000000000"), "job_history")
 def flow_stats_next_page(v: Views):
     return O.flow_stats_page(
-        v.job_history(), *APP, limit=3, version="F", start=WINDOW[0], end=WINDOW[1], start_run_id=870000000000
-    )
+        v.job_history(), *APP, limit=3, version="F", start=WINDOW[0], end=WINDOW[1], start_key=(870000000000, 0, 0)
+    ).drop(*O.SOLO)
 
 
 @query("flow_of_job", "J1", f"""
 SELECT {_JOBS} FROM job_history WHERE ({_KEYS}) IN (SELECT ({_KEYS}) FROM job_history WHERE job_id = '{JOB}')""", "job_history")
 def flow_of_job(v: Views):
-    jobs = v.job_history().select(*JOB_COLUMNS)
-    # the cluster of a job id is part of the question; here every cluster is asked
-    one = jobs.filter(F.col("job_id") == JOB).select(*FLOW_KEY)
-    return jobs.join(one, FLOW_KEY, "left_semi")
+    return O.flow_of_job(v.job_history().select(*JOB_COLUMNS), None, JOB)
 
 
 @query("jobs_with_tasks", "J2", """
@@ -128,7 +125,7 @@ def jobs_with_tasks(v: Views):
 @query("job_by_id", "P1", f"SELECT job_id, {', '.join(MEASURES)} FROM job_history WHERE job_id = '{JOB}'", "job_history")
 def job_by_id(v: Views):
     jobs = v.job_history()
-    return jobs.filter(F.col("job_id") == JOB).select("job_id", *MEASURES)
+    return jobs.filter(is_job(JOB)).select("job_id", *MEASURES)
 
 
 @query("tasks_of_job", "P2", f"SELECT job_id, task_key, task_type, task_status, task_millis FROM tasks WHERE job_id = '{JOB}'", "tasks")

@@ -211,7 +211,7 @@ def counters_from_text(v: Views):
         F.lit(")][("), state, F.lit(")(x)("), F.col("l_linenumber").cast("string"), F.lit(")]}{(money)(money)[(cents)(cents)("),
         cents(F.col("l_extendedprice")).cast("string"), F.lit(")]}"),
     )
-    return v.spread_table("lineitem").select(*_LINE, F.inline(K.from_text(compact)))
+    return v.dealt("lineitem", "l_orderkey", "l_linenumber").select(*_LINE, F.inline(K.from_text(compact)))
 
 
 @query("counters_from_broken_text", "F27", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS cells FROM part")
@@ -237,7 +237,7 @@ def counters_from_json(v: Views):
             F.struct(F.lit("money").alias("name"), F.array(count(F.lit("cents"), cents(F.col("l_extendedprice")))).alias("counts")),
         ).alias("groups"),
     )
-    parsed = v.spread_table("lineitem").select(*_LINE, K.parse_json(F.to_json(record)).alias("p"))
+    parsed = v.dealt("lineitem", "l_orderkey", "l_linenumber").select(*_LINE, K.parse_json(F.to_json(record)).alias("p"))
     return parsed.select(K.json_kind(F.col("p")).alias("kind"), *_LINE, F.inline(K.from_json(F.col("p"))))
 
 
@@ -270,7 +270,7 @@ SELECT job_id, task_key, CASE task_type WHEN 'MAP' THEN printf('m_%s', task_key)
   CASE WHEN task_status = 'O' THEN printf('r_%s_0', task_key) ELSE 'attempt_9_9_' || task_key END AS attempt, 'AM_app_' || job_seq AS am FROM tasks""", "tasks")
 def task_components(v: Views):
     job = F.col("job_id")
-    number = F.substring(job, 5, 100)
+    number = F.expr("substring(job_id, 5)")
     task = F.when(F.col("task_type") == "MAP", F.concat(F.lit("task_"), number, F.lit("_m_"), F.col("task_key")))
     attempt = F.when(
         F.col("task_status") == "O", F.concat(F.lit("attempt_"), number, F.lit("_r_"), F.col("task_key"), F.lit("_0"))

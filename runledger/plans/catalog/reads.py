@@ -56,7 +56,7 @@ SELECT {', '.join(R.FLOW_SUMMARY)}, page_row, page_row > 2 AS is_next FROM (
   SELECT *, CAST(row_number() OVER (ORDER BY run_id DESC) AS BIGINT) AS page_row
   FROM ({flows_sql(f'(SELECT * FROM job_history WHERE {_WHERE})')})) WHERE page_row <= 3""", "job_history")
 def read_flow_stats(v: Views):
-    return R.flow_stats(v.job_history(), CLUSTER, USER, APP, 2)
+    return R.flow_stats(v.job_history(), CLUSTER, USER, APP, 2).drop("solo_epoch", "solo_seq")
 
 
 @query("read_app_versions", "X3 W4", f"SELECT * FROM versions WHERE {_WHERE}", "versions")

@@ -50,9 +50,10 @@ def flows_with_jobs(flow_rows: DataFrame, jobs: DataFrame) -> DataFrame:
     Jobs stay rows of their own: a flow may hold more jobs than fit in one array.
     """
     own = [c for c in jobs.columns if c not in O.FLOW_KEY]
-    shown = jobs.select(*O.FLOW_KEY, *[F.col(c).alias(c if c.startswith("job_") else f"job_{c}") for c in own])
+    key = [*O.FLOW_KEY, *O.SOLO]
+    shown = O.with_solo(jobs).select(*key, *[F.col(c).alias(c if c.startswith("job_") else f"job_{c}") for c in own])
     keep = [c for c in FLOW_SUMMARY if c in flow_rows.columns]
-    return flow_rows.select(*keep).join(shown.drop("job_epoch", "job_seq"), O.FLOW_KEY)
+    return flow_rows.select(*keep, *O.SOLO).join(shown.drop("job_epoch", "job_seq"), key)
 
 
 def job(jobs: DataFrame, cluster: str, job_id: str) -> DataFrame:
@@ -98,7 +99,7 @@ def flow_series(
 def flow_stats(jobs: DataFrame, cluster: str, user: str, app: str, limit: int = 100, **window) -> DataFrame:
     """Page of flow statistics; see :func:`runledger.operators.flows.flow_stats_page`."""
     paged = O.flow_stats_page(jobs, cluster, user, app, limit, **window)
-    return paged.select(*FLOW_SUMMARY, "page_row", "is_next")
+    return paged.select(*FLOW_SUMMARY, *O.SOLO, "page_row", "is_next")
 
 
 def app_versions(versions: DataFrame, cluster: str, user: str, app: str) -> DataFrame:

@@ -25,17 +25,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
 
-    def spread(self, rows: DataFrame, table: str) -> DataFrame:
-        """Rows made from a table, for work that costs far more than they weigh, such as parsing.
-
-        A table that is one small file is one task; only then are the rows dealt out. A table
-        with a task for every core, as any large one has, leaves them where they are.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if self.table(table).rdd.getNumPartitions() < cores else rows
-
-    def spread_table(self, name: str) -> DataFrame:
-        return self.spread(self.table(name), name)
+    def dealt(self, name: str, *keys: str) -> DataFrame:
+        """A table dealt out by its row key, for work that costs far more than its rows weigh, such as
+        rendering and parsing logs."""
+        return self.table(name).repartition(*keys)
 
     def stream(self, name: str) -> DataFrame:
         """A table as a file stream."""

@@ -92,15 +92,31 @@ def test_pages_follow_each_other(spark):
     jobs = job_frame(spark, [{"job_seq": i, "run_id": i} for i in range(1, 8)])
     seen, start = [], None
     while True:
-        page = flows.flow_stats_page(jobs, "c1", "u", "a", 3, start_run_id=start).collect()
+        page = flows.flow_stats_page(jobs, "c1", "u", "a", 3, start_key=start).collect()
         seen += [r.run_id for r in page if not r.is_next]
-        following = [r.run_id for r in page if r.is_next]
+        following = [(r.run_id, r.solo_epoch, r.solo_seq) for r in page if r.is_next]
         if not following:
             break
         start = following[0]
     assert seen == [7, 6, 5, 4, 3, 2, 1]
 
 
+def test_flows_without_run_id(spark):
+    jobs = job_frame(spark, [{"job_seq": i, "run_id": 0} for i in range(1, 11)])
+    seen, start = [], None
+    while True:
+        page = flows.flow_stats_page(jobs, "c1", "u", "a", 3, start_key=start).collect()
+        seen += [r.solo_seq for r in page if not r.is_next]
+        following = [(r.run_id, r.solo_epoch, r.solo_seq) for r in page if r.is_next]
+        if not following:
+            break
+        start = following[0]
+    assert seen == list(range(1, 11))
+    assert [r.solo_seq for r in flows.flow_stats_page(jobs, "c1", "u", "a", 0).orderBy("page_row").collect()] == seen
+    assert reads.flows_with_jobs(flows.roll_up(jobs), jobs).count() == 10
+    assert [r.job_seq for r in flows.flow_of_job(jobs, "c1", "job_1_0004" if "job_1_0004" in {r.job_id for r in jobs.collect()} else "job_1_4").collect()] == [4]
+
+
 def test_jobs_with_tasks_keeps_idle_jobs(spark):
     jobs = job_frame(spark, [{"job_seq": i} for i in range(4)])
     tasks = spark.createDataFrame([("c1", f"job_1_{0 if i else 2}", i) for i in range(50)], "cluster string, job_id string, task int")

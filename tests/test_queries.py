@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest test data, and the plans that have to hold at scale."""
 
 import os
+import re
 
 import pytest
 
@@ -55,6 +56,12 @@ def test_lookups_push_their_filter_to_the_scan(spark):
     assert "ReadSchema" in text and "l_comment" not in text
 
 
+def test_job_numbers_reach_the_scan(spark):
+    text = plan(QUERIES["job_by_id"](spark, DATA))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderkey", text) and re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_orderkey", text)
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_orderkey", plan(QUERIES["tasks_of_job"](spark, DATA)))
+
+
 def test_no_cross_joins_and_no_python_in_any_batch_plan(spark):
     for name in ("flow_roll_up", "jobs_with_tasks", "daily_totals", "new_app_summaries", "storage_as_of", "job_details",
                  "pruned_files", "counters_from_text", "text_log_records", "json_log_events"):
