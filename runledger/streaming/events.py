@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.events import EVENT_KEY, STATUS_KEY
+from ..operators.events import EVENT_KEY, STATUS_KEY, last_write_wins
 
 
-def unique_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per (flow, sequence); state is kept for the delay only. ``ts`` is epoch millis."""
-    timed = events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(EVENT_KEY).drop("event_time")
+def start_events(events: DataFrame, path: str, checkpoint: str, order: str = "write_seq", once: bool = True) -> StreamingQuery:
+    """Appends events, one folder per micro-batch; of several writes of one event in a micro-batch
+    the last by ``order``. No state is kept and no event is too late."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last_write_wins(batch, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stored_events(spark: SparkSession, path: str, order: str = "write_seq") -> DataFrame:
+    """The appended events, each as it was written last."""
+    rows = spark.read.parquet(path).withColumn(order, F.struct(order, "batch"))
+    return last_write_wins(rows, order).drop(order, "batch")
 
 
 def follow(events: DataFrame, cluster: str, flow_id, since: int) -> DataFrame:

@@ -1,48 +1,35 @@
-"""Running day and week totals per application (update mode)."""
+"""Running day and week totals per application.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..operators.apps import TOTALS
-
-LATENESS = "30 days"
-
-
-def _window(period: str) -> Column:
-    if period == "day":
-        return F.window("run_time", "1 day")
-    # weeks start on Sunday; epoch day 0 was a Thursday, three days before one
-    return F.window("run_time", "7 days", "7 days", "3 days")
-
-
-def _timed(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("run_time", F.timestamp_millis("run_id")).withWatermark("run_time", LATENESS)
+No job is too late: there is no watermark. The state is one row of sums per application and
+period, and one row per distinct run; it grows with the totals, not with the jobs.
+"""
 
+from __future__ import annotations
 
-def _keys(period: str) -> list:
-    return ["cluster", _window(period).alias("w"), "user_name", "app_id"]
+from pyspark.sql import DataFrame, functions as F
 
+from ..operators.apps import PERIODS, TOTALS
 
-def _start() -> Column:
-    return F.unix_millis("w.start").alias("period_start")
+KEYS = ["cluster", "period_start", "user_name", "app_id"]
 
 
-KEYS = ["cluster", "period_start", "user_name", "app_id"]
+def _placed(jobs: DataFrame, period: str) -> DataFrame:
+    return jobs.withColumn("period_start", PERIODS[period](F.col("run_id")))
 
 
 def running_totals(jobs: DataFrame, period: str) -> DataFrame:
-    """Totals so far. Jobs later than the watermark have to be added by the batch totals."""
-    sums = _timed(jobs).groupBy(*_keys(period)).agg(
+    """Totals so far (update mode)."""
+    return _placed(jobs, period).groupBy(*KEYS).agg(
         *[F.sum(c).alias(c) for c in TOTALS], F.count("*").alias("job_count"), F.sum("cost").alias("cost")
     )
-    return sums.select("cluster", _start(), "user_name", "app_id", *TOTALS, "job_count", "cost")
 
 
-def running_runs(jobs: DataFrame, period: str = "day") -> DataFrame:
-    """Distinct runs so far; the run ids of a window are forgotten behind the watermark.
+def new_runs(jobs: DataFrame, period: str = "day") -> DataFrame:
+    """Every run of an application and period once, when its first job arrives (append mode)."""
+    key = [*KEYS, "run_id"]
+    return _placed(jobs, period).select(*key).dropDuplicates(key)
+
 
-    The state holds the distinct runs of one application and period, not its jobs.
-    """
-    sets = _timed(jobs).groupBy(*_keys(period)).agg(F.collect_set("run_id").alias("runs"))
-    return sets.select("cluster", _start(), "user_name", "app_id", F.size("runs").cast("bigint").alias("number_runs"))
+def run_counts(runs: DataFrame) -> DataFrame:
+    """Number of runs, from the written rows of :func:`new_runs`."""
+    return runs.groupBy(*KEYS).agg(F.count("*").alias("number_runs"))
