@@ -128,8 +128,8 @@ def repeated_places(rows: DataFrame, hasher: Hasher, expected: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED)], schema=PACKED)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                piece = batch.slice(at, 250)
                 hashes, places, counts = hasher(text_bytes(piece.column("text")))
                 keys = np.zeros(piece.num_rows, KEY)
                 keys["null"] = piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)

@@ -231,8 +231,8 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = text_bytes(batch.column("text").slice(at, 500))
+            for at in range(0, batch.num_rows, 250):
+                texts = text_bytes(batch.column("text").slice(at, 250))
                 owner, place, *_ = anchors(texts, size)
                 found = [head(texts[o][p : p + 8]) >> 1 for o, p in zip(owner.tolist(), place.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["head"])
