@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import defaults as D, ids, times as T
 from ...operators import batches as B, jobs as J
 from ...operators.ordering import with_position
+from ...session import new_work_path
 from ...sources import files as S, raw as R
 from ..views import Views
 from .registry import query
@@ -18,10 +19,25 @@ def _classified(v: Views):
     return S.job_files(v.files())
 
 
-@query("table_files", "S1")
+def write_parts(docs, path: str, mode: str = "errorifexists") -> None:
+    """Documents as one text file per ``doc_id % 64``, each in a folder of its own."""
+    parts = docs.select((F.col("doc_id") % 64).alias("part"), F.col("text").alias("value"))
+    parts.repartition("part").write.mode(mode).partitionBy("part").text(path)
+
+
+def part_of(path: str = "path"):
+    return F.regexp_extract(path, "/part=([0-9]+)/", 1).cast("bigint")
+
+
+FILES_SQL = "SELECT CAST(doc_id % 64 AS BIGINT) AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM documents GROUP BY 1"
+
+
+@query("table_files", "S1", FILES_SQL)
 def table_files(v: Views):
-    """Listing of the table files themselves; sizes and times come from the file system."""
-    return S.list_files(v.spark, v.dir, pattern="*.parquet")
+    """A tree of files written from the documents, listed recursively."""
+    path = new_work_path(v.spark, "tree")
+    write_parts(v.table("documents"), path)
+    return S.list_files(v.spark, path, pattern="part-*").select(part_of().alias("part"), "length")
 
 
 @query("files_in_range", "S2", "SELECT * FROM files WHERE mod_time > 120 AND mod_time <= 870", "files")
