@@ -4,8 +4,8 @@ Distinct lines (by 64-bit hash) are joined on segments: a line is cut into ``edi
 segments, one of which any line within ``edits`` edits holds unchanged and nearly in place.
 Every line is indexed by its own segments and probes, for every length it may be matched to,
 the few start positions that the segment's place and the difference in length allow. Pairs
-that meet must agree in a signature of letter counts (an edit flips at most two of its bits),
-and are confirmed by an edit distance that keeps one bit per diagonal and number of edits.
+that meet must have nearly the same letter counts (an edit changes them by two at most), and are
+confirmed by an edit distance that keeps one bit per diagonal and number of edits.
 Links make components; the first line of a component, by document and place, stays.
 Everything is column expressions.
 """
@@ -22,7 +22,7 @@ from .quality_rules import WORD, once
 EDITS = 2
 LEAST_CHARS = 40
 LEAST_WORDS = 10
-LETTERS = "entairsohdul"
+LETTERS = "entairso"
 
 
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -39,47 +39,49 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), *PLACE)
 
 
-def signature(line: str) -> Column:
-    """Two bits per letter: its count modulo 4 in Gray code."""
-    out = F.lit(0)
+def letter_counts(line: str) -> Column:
+    """The counts of some letters modulo 64, six bits each."""
+    out = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))).bitwiseAND(3)
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)), 2 * i))
+        n = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(63), 6 * i))
+    return out
+
+
+def difference(a: str, b: str) -> Column:
+    """By how much two sets of letter counts differ at least; an edit changes it by two at most."""
+    out = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = (F.shiftright(F.col(a), 6 * i) - F.shiftright(F.col(b), 6 * i)).bitwiseAND(63)
+        out = out + F.least(d, 64 - d)
     return out
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of one of ``edits`` + 1 segments of a line of ``length``; the
-    last ones are longer by one where it does not divide."""
-    short = F.floor(length / (edits + 1)).cast("int")
-    longer = (length % (edits + 1)).cast("int")
-    before = F.greatest(F.lit(0), F.lit(number) - (F.lit(edits + 1) - longer))
-    start = short * number + before
-    return start, short + F.when(F.lit(number) >= F.lit(edits + 1) - longer, 1).otherwise(0)
-
-
-def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments: hash of (length, number, text)."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = segment(F.col("n"), i, edits)
-        keys.append(F.xxhash64("n", F.lit(i), F.substring(F.col("line"), start + 1, size)))
-    return F.array(*keys)
-
-
-def probe_keys(edits: int) -> Column:
-    """Keys under which lines as long or up to ``edits`` shorter may be indexed, at the starts
-    that leave enough edits for the parts on both sides."""
-    keys = []
-    for shorter in range(edits + 1):
-        n = F.col("n") - shorter
-        for i in range(edits + 1):
-            start, size = segment(n, i, edits)
-            lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(lo, hi + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= F.col("n")), F.xxhash64(n, F.lit(i), F.substring(F.col("line"), at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+def keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """(id, letters, key) of segments of ``lines`` (id, line, n, letters), one row for each of
+    ``places``: (shorter, number, shift): segment ``number`` of a line by ``shorter`` characters
+    shorter, looked up ``shift`` characters from its place. Key: hash of (length, number, text).
+
+    A line is cut into edits + 1 segments; where its length does not divide, the last are longer by one."""
+    wanted = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
+    rows = lines.select("id", "letters", "line", "n", F.inline(wanted))
+    parts = edits + 1
+    short, longer = f"cast((n - d) div {parts} as int)", f"cast((n - d) % {parts} as int)"
+    rows = rows.selectExpr("*", f"{short} * i + greatest(0, i - {parts} + {longer}) + s AS start", f"{short} + if(i >= {parts} - {longer}, 1, 0) AS size")
+    rows = rows.where("start >= 0 AND start + size <= n")
+    return rows.selectExpr("id", "letters", "xxhash64(n - d, i, substring(line, start + 1, size)) AS key")
+
+
+def own_places(edits: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(edits + 1)]
+
+
+def probed_places(edits: int) -> list[tuple[int, int, int]]:
+    """For lines as long or up to ``edits`` shorter: the shifts that leave enough edits for both sides."""
+    return [
+        (d, i, s) for d in range(edits + 1) for i in range(edits + 1)
+        for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
+    ]
 
 
 def within(pairs: DataFrame, edits: int) -> DataFrame:
@@ -121,11 +123,12 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
 def links(found: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of distinct lines within ``edits`` edits."""
     # all readers of the distinct lines use the same columns, so that they share one shuffle
-    distinct = found.groupBy("id").agg(F.min(place()).alias("first"), F.any_value("line").alias("line")).where("first.line_no >= 0")
-    marked = distinct.select("id", "line", F.char_length("line").alias("n"), signature("line").alias("sig"))
-    own = marked.select("id", "sig", F.explode(index_keys(edits)).alias("key")).toDF("a", "sig_a", "key")
-    probes = marked.select("id", "sig", F.explode(probe_keys(edits)).alias("key")).toDF("b", "sig_b", "key")
-    met = own.join(probes, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits))
+    distinct = found.select("id", "line", letter_counts("line").alias("letters")).groupBy("id").agg(F.any_value("line").alias("line"), F.max("letters").alias("letters"))
+    distinct = distinct.where("letters >= 0 AND line IS NOT NULL")
+    marked = distinct.select("id", "letters", "line", F.char_length("line").alias("n"))
+    own = keys(marked, own_places(edits), edits).toDF("a", "letters_a", "key")
+    probes = keys(marked, probed_places(edits), edits).toDF("b", "letters_b", "key")
+    met = own.join(probes, "key").where((F.col("a") != F.col("b")) & (difference("letters_a", "letters_b") <= 2 * edits))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     s, t = (distinct.select(F.col("id").alias(k), F.col("line").alias(name)) for k, name in (("a", "s"), ("b", "t")))
     return within(pairs.join(s, "a").join(t, "b"), edits).select("a", "b")
@@ -134,8 +137,8 @@ def links(found: DataFrame, edits: int) -> DataFrame:
 def removals(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_hash, removed: the numbers (from 0) of the lines to remove, for every document
     that has any. Shorter lines than ``least_chars`` characters never go."""
-    found = lines(docs, least_chars)
-    labels = components(pinned(links(found, edits), "line-links"))
+    labels = components(pinned(links(lines(docs, least_chars), edits), "line-links"))
+    found = pinned(lines(docs, least_chars).drop("line"), "lines")
     ids = found.groupBy("id").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     ids = ids.join(labels, ids["id"] == labels["node"], "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     ids = pinned(ids.where("n > 1 OR component <> id").unionByName(ids.where("n = 1 AND component = id").join(labels.select("component").distinct(), "component", "left_semi")), "repeated-lines")
