@@ -26,9 +26,10 @@ from .common import pinned, table
 
 MAGIC = b"DAC1"
 HEADER = struct.Struct("<4sIQQQII")  # magic, task, tokens before in the task, documents, tokens, levels, shard
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 DIRECTORY_BYTES = 64
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000  # a worker keeps them as long as it lives, and idle workers live on
+MARKS = frozenset(".,;:!?")
 END_ID = 0
 
 
@@ -49,8 +50,9 @@ class Encoder:
         size = self.library.get_vocab_size()
         self.sizes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
         self.irregular = re.compile(r"\s\s|\s\Z").search
-        line_feed = self.whole(["\n"])[0]
+        line_feed, *marks = self.whole(["\n", *MARKS])
         self.lead = len(line_feed)
+        self.marks = dict(zip(MARKS, marks))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,12 +75,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [None if self.irregular(s := "\n" + t) else s.replace("\n", " \n").split(" ")[1:] for t in texts]
-        new = list(dict.fromkeys(p for x in pieces if x for p in x if p not in self.cache))
+        unknown: set[str] = set()
+        for x in pieces:
+            unknown.update(x or ())
+        unknown.difference_update(self.cache)
+        # a mark behind a letter ends the piece before it, so most words with one need no encoding
+        marked = [p for p in unknown if p[-1:] in MARKS and p[-2:-1].isalpha()]
+        plain = [p for p in unknown if not (p[-1:] in MARKS and p[-2:-1].isalpha())]
+        new = list(dict.fromkeys([*plain, *(s for p in marked if (s := p[:-1]) not in self.cache)]))
         self.learn(new)
+        self.cache.update((p, self.cache[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        new += marked
         get = self.cache.__getitem__
         out = [b"".join(map(get, x))[self.lead :] if x else self.whole([t])[0] if t else b"" for x, t in zip(pieces, texts)]
         for p in new[max(0, CACHE_ENTRIES - len(self.cache) + len(new)) :]:
-            del self.cache[p]
+            self.cache.pop(p, None)
         return out
 
 
@@ -172,8 +183,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         names: list[int | None] = []
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 for name, raw in zip(piece.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(piece.column("text").to_pylist())):
                     names.append(name)
                     ids.append(np.frombuffer(raw + end, "<u4"))
