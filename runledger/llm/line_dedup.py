@@ -22,7 +22,7 @@ from .quality_rules import WORD, once
 EDITS = 2
 LEAST_CHARS = 40
 LEAST_WORDS = 10
-LETTERS = "entairso"
+LETTERS = "entairsohd"
 
 
 def lines(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -121,14 +121,17 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def links(found: DataFrame, edits: int) -> DataFrame:
-    """(a, b): ids of distinct lines within ``edits`` edits."""
+    """(a, b): ids of distinct lines within ``edits`` edits (7 at most)."""
     # all readers of the distinct lines use the same columns, so that they share one shuffle
     distinct = found.select("id", "line", letter_counts("line").alias("letters")).groupBy("id").agg(F.any_value("line").alias("line"), F.max("letters").alias("letters"))
     distinct = distinct.where("letters >= 0 AND line IS NOT NULL")
+    # the length modulo 8 above the letter counts tells pairs of equal length, which meet from both sides
     marked = distinct.select("id", "letters", "line", F.char_length("line").alias("n"))
+    marked = marked.withColumn("letters", F.col("letters").bitwiseOR(F.shiftleft((F.col("n") % 8).cast("long"), 60)))
     own = keys(marked, own_places(edits), edits).toDF("a", "letters_a", "key")
     probes = keys(marked, probed_places(edits), edits).toDF("b", "letters_b", "key")
-    met = own.join(probes, "key").where((F.col("a") != F.col("b")) & (difference("letters_a", "letters_b") <= 2 * edits))
+    once_only = (F.shiftright("letters_a", 60) != F.shiftright("letters_b", 60)) | (F.col("a") < F.col("b"))
+    met = own.join(probes, "key").where((F.col("a") != F.col("b")) & once_only & (difference("letters_a", "letters_b") <= 2 * edits))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     s, t = (distinct.select(F.col("id").alias(k), F.col("line").alias(name)) for k, name in (("a", "s"), ("b", "t")))
     return within(pairs.join(s, "a").join(t, "b"), edits).select("a", "b")
