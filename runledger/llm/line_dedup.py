@@ -1,5 +1,7 @@
 """Line dedup: of lines equal or within a few edits of one another, the first stays.
 
+Equal lines are found whatever their length, if they hold a word: one aggregation by 64-bit hash.
+Edits are allowed in proportion to the length: two from 40 characters, one from 20.
 Distinct lines (by 64-bit hash) are joined on segments: a line is cut into ``edits`` + 1
 segments, one of which any line within ``edits`` edits holds unchanged and nearly in place.
 Every line is indexed by its own segments and probes, for every length it may be matched to,
@@ -25,11 +27,11 @@ LEAST_WORDS = 10
 LETTERS = "entairsohd"
 
 
-def lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Lines of at least ``least_chars`` characters: doc_id, text_hash, line_no, line, id."""
+def lines(docs: DataFrame) -> DataFrame:
+    """Lines that hold a word: doc_id, text_hash, line_no, line, id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.where(F.char_length("line") >= least_chars).withColumn("id", F.xxhash64("line"))
+    return rows.where(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
 
 
 PLACE = ["doc_id", "text_hash", "line_no"]
@@ -137,11 +139,24 @@ def links(found: DataFrame, edits: int) -> DataFrame:
     return within(pairs.join(s, "a").join(t, "b"), edits).select("a", "b")
 
 
+def near_links(found: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """(a, b): ids of distinct lines within ``edits`` edits from ``least_chars`` characters, and
+    within e edits from e / edits times as many."""
+    out, n = None, F.char_length("line")
+    for e in range(1, edits + 1) if edits else [0]:
+        part = found.where(n >= -(-least_chars * e // max(edits, 1)))
+        if e < edits:  # pairs of longer lines are found with more edits
+            part = part.where(n < -(-least_chars * (e + 1) // edits) + e)
+        out = links(part, e) if out is None else out.unionByName(links(part, e))
+    return out
+
+
 def removals(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_hash, removed: the numbers (from 0) of the lines to remove, for every document
-    that has any. Shorter lines than ``least_chars`` characters never go."""
-    labels = components(pinned(links(lines(docs, least_chars), edits), "line-links"))
-    found = pinned(lines(docs, least_chars).drop("line"), "lines")
+    that has any. Shorter lines than ``least_chars`` characters go with fewer edits, the shortest
+    only if equal; lines without a word never go."""
+    labels = components(pinned(near_links(lines(docs), edits, least_chars), "line-links"))
+    found = pinned(lines(docs).drop("line"), "lines")
     ids = found.groupBy("id").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     ids = ids.join(labels, ids["id"] == labels["node"], "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     ids = pinned(ids.where("n > 1 OR component <> id").unionByName(ids.where("n = 1 AND component = id").join(labels.select("component").distinct(), "component", "left_semi")), "repeated-lines")

@@ -211,6 +211,16 @@ def test_edit_distance_within(spark):
             assert decontamination.edit_distance(list(a), decontamination.masks_of(list(b)), len(b)) == distance(a, b)
 
 
+def test_short_lines_go_when_repeated(spark):
+    long, mid = "a line of well over forty characters stands here", "twenty to forty chars here"
+    texts = [
+        f"Menu\n\n{mid}\n{long}\nshort one\n \t", "Menu\n\nshort one\n \t\nshort ona\nMenu", mid.replace("forty", "fourty") + "\nown",
+        mid.replace("twenty to", "twelve to") + "\nown\n}", long.replace("line of", "lime off") + "\n}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removals(docs).collect()} == {1: [0, 2, 5], 2: [0], 3: [1], 4: [0, 1]}
+
+
 def test_line_links_find_every_edit(spark):
     r = random.Random(4)
     rows = []

@@ -143,6 +143,42 @@ def test_line_dedup(spark, docs):
     assert any(got.values())
 
 
+def all_removed_lines(docs):
+    """Lines to remove, by document, whatever their length: one edit for each 20 characters of the shorter, two at most."""
+    lines = [(i, k, x) for i in sorted(docs) for k, x in enumerate(docs[i].split("\n")) if x.strip(" \t\n\v\f\r")]
+    first = {}
+    for i, k, x in lines:
+        first.setdefault(x, (i, k))
+    label = {x: x for x in first}
+    letters = {x: collections.Counter(x) for x in first}
+    by_size = collections.defaultdict(list)
+    for x in first:
+        by_size[len(x)].append(x)
+    for n in by_size:
+        edits = min(n // 20, 2)
+        for x in by_size[n]:
+            for y in (y for m in range(n, n + edits + 1) for y in by_size.get(m, ())):
+                apart = sum(((letters[x] - letters[y]) + (letters[y] - letters[x])).values())
+                if label[x] != label[y] and apart <= 2 * edits and distance(x, y) <= edits:
+                    old, new = label[y], label[x]
+                    label.update({z: new for z, c in label.items() if c == old})
+    stays = {}
+    for x, at in first.items():
+        stays[label[x]] = min(at, stays.get(label[x], at))
+    gone = collections.defaultdict(list)
+    for i, k, x in lines:
+        if (i, k) != stays[label[x]]:
+            gone[i].append(k)
+    return gone
+
+
+def test_line_dedup_of_all_lengths(spark, docs):
+    gone = all_removed_lines(docs)
+    got = {r.doc_id: r.removed_lines for r in result(spark, "op4_line_dedup")}
+    assert got == {i: ",".join(map(str, gone.get(i, []))) for i in docs}
+    assert any(len(docs[i].split("\n")[k]) < 40 for i, ks in gone.items() for k in ks)
+
+
 def leaks(docs, share=0.2):
     items = pd.read_parquet(f"{DATA}/benchmark.parquet")
     out = {}
