@@ -37,19 +37,20 @@ class Encoder:
     """Encodes texts by pieces that the tokenizer never merges across, each piece once.
 
     The byte-level pattern starts a new piece at a space or line feed that follows no white
-    space. Texts where white space follows white space, or ends the text, go to the library
-    as they are.
+    space. Texts where white space follows white space, or ends the text, and texts that hold an
+    added token (as ``<|endoftext|>``) go to the library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         size = self.library.get_vocab_size()
         self.sizes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values() if x.content]
         self.irregular = re.compile(r"\s\s|\s\Z").search
+        self.added = re.compile("|".join(added) or r"(?!)").search  # on its own: faster than as one more branch
         line_feed, *marks = self.whole(["\n", *MARKS])
         self.lead = len(line_feed)
         self.marks = dict(zip(MARKS, marks))
@@ -74,7 +75,7 @@ class Encoder:
             self.cache.update(zip(pieces[at : at + 20_000], found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if self.irregular(s := "\n" + t) else s.replace("\n", " \n").split(" ")[1:] for t in texts]
+        pieces = [None if self.irregular(s := "\n" + t) or self.added(s) else s.replace("\n", " \n").split(" ")[1:] for t in texts]
         unknown: set[str] = set()
         for x in pieces:
             unknown.update(x or ())

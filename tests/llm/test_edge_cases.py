@@ -300,6 +300,21 @@ def test_irregular_white_space_is_encoded_as_the_library_does():
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_output.Encoder(path)
+    added = [x.content for x in library.get_added_tokens_decoder().values()]
+    r = random.Random(10)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>.", "<|endoftext", "|>"]
+    texts += ["".join(r.choices([*added, "<|", "endoftext", "|>", "a", " bc", "\n", ".", " "], k=r.randint(1, 12))) for _ in range(300)]
+    assert added and 50256 in library.encode(texts[0], add_special_tokens=False).ids
+    for t, raw in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_single_tokens_are_addressable():
     r = np.random.default_rng(1)
     ids = [r.integers(0, m, n).astype(np.uint32) for m, n in ((50257, 3000), (200, 700), (2**31, 900), (1, 5))]
