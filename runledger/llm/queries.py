@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_output, warc
+from . import decontamination, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_output, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_simhash_dedup": simhash_dedup.op11_simhash_dedup,
 }
 SQL = {
     "op6_quality_rules": quality_rules.SQL,
