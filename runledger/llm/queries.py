@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_output, warc
+from . import decontamination, filter_audit, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_output, vector_codes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_simhash_dedup": simhash_dedup.op11_simhash_dedup,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 SQL = {
     "op6_quality_rules": quality_rules.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
     "op12_filter_audit": filter_audit.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
