@@ -103,47 +103,7 @@ def distance(a, b):
     return row[-1]
 
 
-def removed_lines(docs, edits=2, least=40):
-    """Lines to remove, by document."""
-    lines = [(i, k, x) for i in sorted(docs) for k, x in enumerate(docs[i].split("\n")) if len(x) >= least]
-    first = {}
-    for i, k, x in lines:
-        first.setdefault(x, (i, k))
-    letters = {x: collections.Counter(x) for x in first}
-    up = {x: x for x in first}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    by_size = collections.defaultdict(list)
-    for x in first:
-        by_size[len(x)].append(x)
-    for n in by_size:
-        for m in range(n, n + edits + 1):
-            for x in by_size[n]:
-                for y in by_size.get(m, ()):
-                    if x != y and sum(abs(letters[x][c] - letters[y][c]) for c in letters[x].keys() | letters[y].keys()) <= 2 * edits and distance(x, y) <= edits:
-                        up[root(y)] = root(x)
-    stays = {}
-    for x, at in first.items():
-        stays[root(x)] = min(at, stays.get(root(x), at))
-    gone = collections.defaultdict(list)
-    for i, k, x in lines:
-        if (i, k) != stays[root(x)]:
-            gone[i].append(k)
-    return gone
-
-
-def test_line_dedup(spark, docs):
-    gone = removed_lines(docs)
-    got = {r.doc_id: r.removed_lines for r in result(spark, "op4_line_dedup")}
-    assert got == {i: ",".join(map(str, gone.get(i, []))) for i in docs}
-    assert any(got.values())
-
-
-def all_removed_lines(docs):
+def removed_lines(docs):
     """Lines to remove, by document, whatever their length: one edit for each 20 characters of the shorter, two at most."""
     lines = [(i, k, x) for i in sorted(docs) for k, x in enumerate(docs[i].split("\n")) if x.strip(" \t\n\v\f\r")]
     first = {}
@@ -172,8 +132,8 @@ def all_removed_lines(docs):
     return gone
 
 
-def test_line_dedup_of_all_lengths(spark, docs):
-    gone = all_removed_lines(docs)
+def test_line_dedup(spark, docs):
+    gone = removed_lines(docs)
     got = {r.doc_id: r.removed_lines for r in result(spark, "op4_line_dedup")}
     assert got == {i: ",".join(map(str, gone.get(i, []))) for i in docs}
     assert any(len(docs[i].split("\n")[k]) < 40 for i, ks in gone.items() for k in ks)
