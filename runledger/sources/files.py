@@ -18,8 +18,10 @@ def list_files(spark: SparkSession, root: str, with_content: bool = False, patte
 
 
 def as_listing(binary_files: DataFrame, with_content: bool = False) -> DataFrame:
+    """Listing rows. ``source`` is where the content is, for files known under another ``path``."""
     cols = [
         F.col("path"),
+        *([F.col("source")] if "source" in binary_files.columns else []),
         F.unix_millis("modificationTime").alias("mod_time"),
         F.col("length").cast("bigint").alias("length"),
     ]

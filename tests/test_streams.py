@@ -1,7 +1,12 @@
 """Streams over several micro-batches."""
 
+import os
 
-from runledger.streaming import events as E, sinks, totals as T
+from test_logs import CONF, JSON, TEXT
+
+from runledger.plans import ingest
+from runledger.sources import raw as R
+from runledger.streaming import events as E, ingest as I, sinks, totals as T
 
 DAY = 86_400_000
 JOB = ("cluster string, user_name string, app_id string, run_id bigint, cost double, "
@@ -33,3 +38,46 @@ def test_the_last_write_of_an_event_wins(spark, tmp_path):
     E.start_events(events, str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination()
     got = E.stored_events(spark, str(tmp_path / "table")).select("sequence", "data").collect()
     assert sorted(map(tuple, got)) == [(1, "newest"), (2, "x")]
+
+
+def test_pairs_complete_over_micro_batches(spark, tmp_path):
+    """One file per micro-batch: every pair is processed once, in the batch that completes it, and jobs with a file
+    too large become rows with the reason."""
+    files = {"job_7_0001_hist": TEXT, "job_7_0002_conf.xml": CONF, "job_7_0004_conf.xml": "x" * 50_000,
+             "job_7_0002_hist": JSON, "job_7_0001_conf.xml": CONF, "job_7_0004_hist": JSON, "job_7_0005_hist": JSON}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, (name, text) in enumerate(files.items()):
+        (folder / name).write_text(text)
+        os.utime(folder / name, (1e9 + 100 * k, 1e9 + 100 * k))
+    book = ingest.Ledger(spark, str(tmp_path / "tables"), by="year")
+    calls = []
+
+    def process(pairs, batch_id):
+        calls.append((batch_id, [r.job_id for r in pairs.collect()]))
+        described, records = ingest.parsed_files(spark, pairs, "c1", str(tmp_path / "stage" / str(batch_id)))
+        ingest.store(book, described, records, batch=batch_id)
+        for kind in ("conf", "history"):  # content is scanned, never exchanged
+            plan = R.contents(spark, pairs, kind)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+    I.start_ingest(I.file_stream(spark, str(folder), files_per_batch=1), str(tmp_path / "out"), str(tmp_path / "checkpoint"), "c1", process, max_bytes=20_000).awaitTermination()
+    assert calls == [(3, ["job_7_0002"]), (4, ["job_7_0001"])]
+    rejects = spark.read.parquet(str(tmp_path / "out" / "rejected")).where("batch = 5").collect()
+    assert {(r.path.split("/")[-1], r.reason) for r in rejects} == {
+        ("job_7_0004_conf.xml", "too large"), ("job_7_0004_hist", "the other file of its job is too large")}
+    waiting = spark.read.parquet(str(tmp_path / "out" / "waiting")).where("batch = 6").collect()
+    assert {r.job_id for r in waiting} == {"job_7_0004", "job_7_0005"}
+    states = I.current_states(spark.read.parquet(str(tmp_path / "out" / "ingest_batch"))).collect()
+    assert len(states) == 7 and {r.state_name for r in states} == {"PROCESSED"}
+
+    # the same rows as from whole raw rows
+    pairs = spark.read.schema(R.JOB_FILES).parquet(str(tmp_path / "out" / "jobs")).where("conf IS NOT NULL AND history IS NOT NULL")
+    times = {r.job_id: r.history.mod_time for r in pairs.collect()}
+    raw = spark.createDataFrame([("c1", j, CONF.encode(), log.encode(), times[j]) for j, log in (("job_7_0001", TEXT), ("job_7_0002", JSON))],
+                                "cluster string, job_id string, conf binary, history binary, history_mod_time bigint")
+    described, records = ingest.staged(raw)
+    stored = ingest.stored_tables(spark, book.root)
+    for name, want in (("job_history", ingest.job_rows(described, records)), ("job_history_task", ingest.task_rows(records))):
+        columns = sorted(want.columns)
+        assert sorted(map(repr, stored[name].select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
