@@ -20,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pinned(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows below the shared folder and reads them back: computed once, no lineage."""
-    path = new_work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def pinned(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Writes the rows below the shared folder and reads them back: computed once, no lineage.
+
+    ``free``: what was shuffled for them is deleted as soon as they are written.
+    """
+    spark, path = df.sparkSession, new_work_path(df.sparkSession, label)
+    before = spark.conf.get(FREE, "false")
+    try:
+        spark.conf.set(FREE, "true" if free else before)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -197,11 +197,17 @@ def repeated_starts(entries: list[Entry], common: np.ndarray, size: int) -> Iter
 
 
 def merged(pieces: list[bytes], size: int) -> Iterator[tuple[bytes, bytes]]:
-    """Merges the runs of one range; looks at the suffixes in groups that share enough bytes."""
+    """Merges the runs of one range; looks at the suffixes in groups that share enough bytes.
+
+    Equal surroundings of several runs become one entry: one row per digest leaves the range,
+    however many runs brought it.
+    """
     held: list[Entry] = []
     common: list[int] = []
     group: list[Entry] = []
     shares: list[int] = []
+    known: dict[bytes, int] = {}  # digest to place in the group
+    passed = size  # least prefix shared on the way over entries left out
 
     def close() -> None:
         if len(group) > 1 or group and group[0][3] > 1:
@@ -209,14 +215,22 @@ def merged(pieces: list[bytes], size: int) -> Iterator[tuple[bytes, bytes]]:
             common.extend([0, *shares[1:]])
         group.clear()
         shares.clear()
+        known.clear()
 
     for c, entry in LoserTree([decoded(p) for p in pieces]):
+        if (at := known.get(entry[4])) is not None:
+            suffix, before, least, _, digest = group[at]
+            group[at] = suffix, before, least, 2, digest
+            passed = min(passed, c)
+            continue
+        c, passed = min(c, passed), size
         if c < size - LEAD + 1:
             close()
             if len(held) >= RUN:
                 yield from repeated_starts(held, np.array(common), size)
                 held.clear()
                 common.clear()
+        known[entry[4]] = len(group)
         group.append(entry)
         shares.append(c)
     close()
@@ -227,7 +241,7 @@ def merged(pieces: list[bytes], size: int) -> Iterator[tuple[bytes, bytes]]:
 def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, text_hash, parts: (first, ranges): starts first + ranges of repeated strings."""
     n_texts, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    found = pinned(repeated_places(rows, anchors_of(size), n_bytes // 50), "anchors")
+    found = pinned(repeated_places(rows, anchors_of(size), n_bytes // 50), "anchors", free=True)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,12 +301,13 @@ def repeated_ranges(rows: DataFrame, size: int) -> DataFrame:
             yield runs()
 
     joined = rows.join(found, same_key(rows, found)).select(rows["doc_id"], rows["text_hash"], rows["text"], found["places"])
-    told = pinned(joined.mapInArrow(cut, "range long, run binary, digest binary, doc_id long, text_hash int, first long"), "suffix-runs")
+    told = pinned(joined.mapInArrow(cut, "range long, run binary, digest binary, doc_id long, text_hash int, first long"), "suffix-runs", free=True)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(merged(list(group.run), size)), columns=["digest", "ranges"])
 
-    starts = told.where("run IS NOT NULL").select("range", "run").repartition(max(ranges, 1), "range").groupBy("range").applyInPandas(merge, "digest binary, ranges binary")
+    runs = told.where("run IS NOT NULL").select("range", "run").repartition(max(ranges, 1), "range")
+    starts = pinned(runs.groupBy("range").applyInPandas(merge, "digest binary, ranges binary"), "suffix-starts", free=True)
     refs = told.where("digest IS NOT NULL").select("digest", "doc_id", "text_hash", "first")
     return refs.join(starts, "digest").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "ranges")).alias("parts"))
 

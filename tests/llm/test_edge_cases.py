@@ -439,3 +439,13 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in links)}
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_a_repeated_string_leaves_its_range_once(spark):
+    """However many runs bring the surroundings of an anchor, one row per digest is joined with its places."""
+    suffix, before = bytes(random.Random(3).choices(range(32, 127), k=500)), b"before"
+    entries = [(suffix, before, 0, 1, bytes(16)), (suffix, b"other", 0, 1, bytes(15) + b"1")]
+    rows = list(suffix_dedup.merged([suffix_dedup.front_coded([e]) for e in (entries * 40)], 400))
+    assert sorted(r[0] for r in rows) == sorted(e[4] for e in entries)
+    alone = list(suffix_dedup.merged([suffix_dedup.front_coded([entries[0]])], 400))
+    assert not alone
