@@ -116,6 +116,25 @@ def new_app_summaries(v: Views):
     return O.new_app_summaries(partial, v.job_history().filter(F.col("version") != "P"), *FIRST_SEEN)
 
 
+FIRST_YEAR = (788832000000, 820454399999)  # the last day of 1994 to the end of 1995
+
+
+@query("new_apps_of_first_year", "P27", f"""
+SELECT {_APP}, min(first_seen) AS first_seen FROM versions GROUP BY {_APP} HAVING min(first_seen) BETWEEN {FIRST_YEAR[0]} AND {FIRST_YEAR[1]}""", "versions")
+def new_apps_of_first_year(v: Views):
+    return O.new_apps(v.app_version(), *FIRST_YEAR)
+
+
+@query("new_app_summaries_of_first_year", "J3 N5", f"""
+SELECT {_APP}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ['number_runs', 'job_count', *TOTALS, 'first_run_id', 'last_run_id'])},
+  coalesce(queues, '') AS queues
+FROM (SELECT {_APP} FROM versions GROUP BY {_APP} HAVING min(first_seen) BETWEEN {FIRST_YEAR[0]} AND {FIRST_YEAR[1]})
+LEFT JOIN ({app_summary_sql('(' + flows_sql(f"(SELECT * FROM job_history WHERE run_id > {FIRST_YEAR[0]} AND run_id <= {FIRST_YEAR[1]})") + ')')})
+USING ({_APP})""", "versions job_history")
+def new_app_summaries_of_first_year(v: Views):
+    return O.new_app_summaries(v.app_version(), v.job_history(), *FIRST_YEAR)
+
+
 @query("jobs_not_aggregated", "J10", """
 SELECT cluster, job_id, run_id FROM job_history WHERE job_status <> 'F'""", "job_history")
 def jobs_not_aggregated(v: Views):

@@ -93,6 +93,19 @@ def archive_targets(v: Views):
     )
 
 
+@query("files_archived_once", "S12 J9", """
+SELECT path, length, CAST(strftime(make_timestamp(mod_time * 86400000 * 1000), '%Y') AS INTEGER) AS year, CAST(strftime(make_timestamp(mod_time * 86400000 * 1000), '%m') AS INTEGER) AS month,
+  CAST(strftime(make_timestamp(mod_time * 86400000 * 1000), '%d') AS INTEGER) AS day FROM files""", "files")
+def files_archived_once(v: Views):
+    """Some files archived, then all, then all again: each lies in the archive once, below its date."""
+    root = new_work_path(v.spark, "archive")
+    # document ids stand for modification times, one step a day
+    files = v.files().withColumn("mod_time", F.col("mod_time") * T.DAY_MILLIS)
+    for part in (files.where("length % 3 = 0"), files, files):
+        S.archive(part, root)
+    return v.spark.read.parquet(root).select("path", "length", "year", "month", "day")
+
+
 @query("files_not_archived", "J9", "SELECT path, length FROM files WHERE length % 3 <> 0", "files")
 def files_not_archived(v: Views):
     dated = S.with_archive_path(v.files(), "/done")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import conf as C, counters as K
-from ...operators import flows, jobs as O
+from ...operators import apps, flows, jobs as O, storage
+from ...session import new_work_path
 from ...sources import export as X
+from ...sources.properties import read_clusters, read_rates
 from .. import reads
 from ..views import Views
-from .registry import query, view_sql
+from .registry import app_summary_sql, query, view_sql
 
 _CONF_KEYS = ["mapreduce.job.user.name", "user.name", "mapreduce.job.name", "mapreduce.job.queuename", "pig.version",
               "pig.logical.plan.signature", "pig.script.submitted.timestamp", "pig.logfile", "cascading.flow.id",
@@ -221,6 +223,69 @@ def json_round_trip(v: Views):
     return cells.filter(F.col("kind") == "total").drop("kind")
 
 
+@query("json_written_and_read", "S14 S19", "SELECT job_id, kind, counter_group, counter_name, value FROM orders_k JOIN cells ON job_seq = l_orderkey", "orders_k cells")
+def json_written_and_read(v: Views):
+    """Jobs exported to JSON files and read back: the counters of all kinds."""
+    path = new_work_path(v.spark, "jobs-json")
+    X.write_json(v.jobs_with_counters().select("cluster", "user_name", "app_id", "run_id", "job_id", "job_status", "counters", "map_counters", "reduce_counters"), path)
+    return flows.explode_counters(X.read_json(v.spark, path, X.EXPORTED_JOB), ["job_id"])
+
+
+@query("apps_written_and_read", "S14 P15", f"SELECT {', '.join(reads.NEW_APPS)} FROM ({app_summary_sql('flows')})", "flows")
+def apps_written_and_read(v: Views):
+    path = new_work_path(v.spark, "apps-json")
+    rows = reads.at_detail(apps.summarize(flows.roll_up(v.job_history())), "new_apps")
+    X.write_json(rows, path)
+    return X.read_json(v.spark, path, rows.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("storage_written_and_read", "S14 P16", f"SELECT {', '.join(reads.STORAGE)} FROM merged_usage", "merged_usage")
+def storage_written_and_read(v: Views):
+    path = new_work_path(v.spark, "storage-json")
+    rows = reads.at_detail(storage.merge_namespaces(v.hdfs_usage()), "storage")
+    X.write_json(rows, path)
+    return X.read_json(v.spark, path, rows.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("cluster_of_host_from_file", "J5", """
+SELECT job_id, CASE WHEN version <> 'P' THEN cluster END AS found FROM orders_k""", "orders_k")
+def cluster_of_host_from_file(v: Views):
+    """Clusters from a property file of hosts."""
+    path = new_work_path(v.spark, "hosts")
+    places = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    escaped = F.regexp_replace("n_name", "([ :=])", r"\\$1")
+    lines = places.select(F.explode(F.array(F.lit("# host"), F.lit(""), F.concat(F.lit("  "), escaped, F.lit(" = "), "r_name"))).alias("value"))
+    lines.write.text(path)
+    hosts = v._orders().select("job_id", F.when(F.col("version") == "P", F.lit("elsewhere")).otherwise(F.col("queue")).alias("host"))
+    return O.cluster_of_host(hosts, read_clusters(v.spark, path)).select("job_id", F.col("cluster").alias("found"))
+
+
+@query("job_costs_from_file", "J6 F23", """
+SELECT job_id, CASE WHEN version = 'P' OR r_regionkey = 0 THEN 0.0
+  ELSE CAST(mb_millis AS DOUBLE) * (r_regionkey * 1.5) / CAST(86400000 * (1024 * (r_regionkey + 1)) AS DOUBLE) END AS cost
+FROM (SELECT j.*, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM job_history j JOIN region ON cluster = r_name)""", "job_history")
+def job_costs_from_file(v: Views):
+    """Rates from a property file; machine type 0 has a malformed rate."""
+    path = new_work_path(v.spark, "rates")
+    key = F.col("r_regionkey").cast("bigint")
+    rate = F.when(key == 0, F.lit("free")).otherwise((key * F.lit(1.5)).cast("string"))
+    kind = F.concat(F.lit("rack."), key.cast("string"))
+    pair = F.array(F.concat(kind, F.lit(".computecost="), rate), F.concat(kind, F.lit(".machinememory: "), ((key + 1) * 1024).cast("string")))
+    v.table("region").select(F.explode(pair).alias("value")).write.text(path)
+    types = v.table("region").select(F.col("r_name").alias("cluster"), kind.alias("type"))
+    jobs = v.job_history().join(types, "cluster").withColumn("machine_type", F.when(F.col("version") == "P", F.lit("unknown")).otherwise(F.col("type")))
+    return O.with_cost(jobs, read_rates(v.spark, path)).select("job_id", "cost")
+
+
+@query("tab_lines_written", "S15", """
+SELECT concat_ws(chr(9), job_id, coalesce(nullif(version, 'P'), '-'), CAST(total_maps AS VARCHAR),
+  coalesce(CAST(CASE WHEN version <> 'P' THEN hdfs_bytes_read END AS VARCHAR), 'none')) AS value FROM job_history""", "job_history")
+def tab_lines_written(v: Views):
+    path = new_work_path(v.spark, "tab-lines")
+    X.write_text(tab_lines(v), path)
+    return v.spark.read.text(path)
+
+
 @query("tab_lines", "S15", """
 SELECT concat_ws(chr(9), job_id, coalesce(nullif(version, 'P'), '-'), CAST(total_maps AS VARCHAR),
   coalesce(CAST(CASE WHEN version <> 'P' THEN hdfs_bytes_read END AS VARCHAR), 'none')) AS line FROM job_history""", "job_history")

@@ -51,6 +51,39 @@ def read_flow_series_of_version(v: Views):
     return rows.select("job_id", F.explode("conf").alias("key", "value"))
 
 
+_NEWEST = f"""(SELECT *, CAST(row_number() OVER (ORDER BY run_id DESC) AS BIGINT) AS flow_rank
+  FROM ({flows_sql(f"(SELECT * FROM job_history WHERE {_WHERE} AND run_id > {NOW - 800 * 86400000} AND run_id <= {NOW})")}))"""
+
+
+@query("read_flow_details", "X3 P15 A1 W1 P28", f"SELECT flow_rank, {', '.join(R.FLOW_SUMMARY)} FROM {_NEWEST} WHERE flow_rank <= 4", "job_history")
+def read_flow_details(v: Views):
+    return R.flow_details(v.job_history(), CLUSTER, USER, APP, 4, start=NOW - 800 * 86400000, now=NOW).drop("solo_epoch", "solo_seq")
+
+
+@query("read_flow_details_with_jobs", "X3 P15 J2", f"""
+SELECT f.run_id, f.job_count, f.total_maps, j.job_id, j.total_maps AS job_total_maps, j.queue AS job_queue FROM {_NEWEST} f
+JOIN job_history j USING (cluster, user_name, app_id, run_id) WHERE flow_rank <= 4""", "job_history")
+def read_flow_details_with_jobs(v: Views):
+    rows = R.flow_details(v.job_history(), CLUSTER, USER, APP, 4, start=NOW - 800 * 86400000, now=NOW, include_jobs=True)
+    return rows.select("run_id", "job_count", "total_maps", "job_id", "job_total_maps", "job_queue")
+
+
+@query("read_flow_details_without_run", "X3 P15", f"""
+SELECT job_count, total_maps, job_id FROM (SELECT *, row_number() OVER (ORDER BY job_seq) AS k FROM
+  (SELECT job_seq, job_id, total_maps, CAST(1 AS BIGINT) AS job_count FROM job_history WHERE {_WHERE})) WHERE k <= 3""", "job_history")
+def read_flow_details_without_run(v: Views):
+    """Jobs without a run id are flows of their own, with their own sums."""
+    jobs = v.job_history().withColumn("run_id", F.lit(0).cast("bigint"))
+    return R.flow_details(jobs, CLUSTER, USER, APP, 3, include_jobs=True).select("job_count", "total_maps", "job_id")
+
+
+@query("read_flow_stats_with_jobs", "X3 W13 P15", f"""
+SELECT run_id, f.job_count, f.mb_millis, j.job_id FROM (SELECT *, row_number() OVER (ORDER BY run_id DESC) AS r
+  FROM ({flows_sql(f'(SELECT * FROM job_history WHERE {_WHERE})')})) f JOIN job_history j USING (cluster, user_name, app_id, run_id) WHERE r <= 3""", "job_history")
+def read_flow_stats_with_jobs(v: Views):
+    return R.flow_stats_with_jobs(v.job_history(), CLUSTER, USER, APP, 3).select("run_id", "job_count", "mb_millis", "job_id")
+
+
 @query("read_flow_stats", "X3 W13 P15", f"""
 SELECT {', '.join(R.FLOW_SUMMARY)}, page_row, page_row > 2 AS is_next FROM (
   SELECT *, CAST(row_number() OVER (ORDER BY run_id DESC) AS BIGINT) AS page_row

@@ -81,3 +81,15 @@ def qualified_path_match(v: Views):
         "cluster", "path", "run_id", "namespace",
         P.same_qualified_path(F.col("cluster"), F.col("path"), ns, F.col("cluster"), F.col("path"), F.lit("ns1")).alias("matches"),
     )
+
+
+@query("qualified_paths_of_two_listings", "F37", """
+SELECT a.cluster, a.path, a.namespace, b.cluster AS other_cluster, b.namespace AS other_namespace, count(*) AS pairs,
+  count(*) FILTER (a.cluster = b.cluster AND (nullif(a.namespace, 'ns2') IS NULL OR a.namespace = b.namespace)) AS matches
+FROM usage a JOIN usage b ON a.path = b.path AND b.run_id = a.run_id GROUP BY ALL""", "usage")
+def qualified_paths_of_two_listings(v: Views):
+    """Rows of one hour and path against each other, over clusters and namespaces."""
+    a, b = v.hdfs_usage(), v.hdfs_usage().select("path", "run_id", F.col("cluster").alias("other_cluster"), F.col("namespace").alias("other_namespace"))
+    both = a.join(b, ["path", "run_id"])
+    same = P.same_qualified_path(F.col("cluster"), F.col("path"), F.nullif("namespace", F.lit("ns2")), F.col("other_cluster"), F.col("path"), F.col("other_namespace"))
+    return both.groupBy("cluster", "path", "namespace", "other_cluster", "other_namespace").agg(F.count("*").alias("pairs"), F.count_if(same).alias("matches"))

@@ -96,6 +96,27 @@ def flow_series(
     return picked
 
 
+def flow_details(
+    jobs: DataFrame, cluster: str, user: str, app: str, limit: int = 1, version: str | None = None,
+    start: int | None = None, end: int = 0, now: int | None = None, include_jobs: bool = False,
+) -> DataFrame:
+    """Newest flows of an application with their sums; with ``include_jobs`` one row per job, the flow's sums on each.
+
+    The same flows as :func:`flow_series`. Sums are over the jobs that pass the version filter.
+    """
+    picked = flow_series(jobs, cluster, user, app, limit, version, start, end, now)
+    sums = O.rank_flows(O.roll_up(picked.drop("flow_rank")), max(limit, 1))
+    if not include_jobs:
+        return sums.select("flow_rank", *FLOW_SUMMARY, *O.SOLO)
+    return flows_with_jobs(sums, picked.drop("flow_rank"))
+
+
+def flow_stats_with_jobs(jobs: DataFrame, cluster: str, user: str, app: str, limit: int = 100, **window) -> DataFrame:
+    """Page of flow statistics with the jobs of each flow, one row per job; the row behind the page is left out."""
+    page = O.flow_stats_page(jobs, cluster, user, app, limit, **window).where("NOT is_next")
+    return flows_with_jobs(page, O.app_jobs(jobs, cluster, user, app))
+
+
 def flow_stats(jobs: DataFrame, cluster: str, user: str, app: str, limit: int = 100, **window) -> DataFrame:
     """Page of flow statistics; see :func:`runledger.operators.flows.flow_stats_page`."""
     paged = O.flow_stats_page(jobs, cluster, user, app, limit, **window)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P
@@ -76,5 +77,24 @@ def not_archived(dated: DataFrame, archived: DataFrame) -> DataFrame:
     return dated.join(archived.select("target_path").distinct(), "target_path", "left_anti").select(*dated.columns)
 
 
-def write_archive(dated: DataFrame, root: str, mode: str = "append") -> None:
-    dated.write.mode(mode).partitionBy("year", "month", "day").parquet(root)
+def archived(spark: SparkSession, root: str) -> DataFrame | None:
+    """The target paths that lie in the archive; None while there is no archive."""
+    try:
+        return spark.read.parquet(root).select("target_path")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def archive(files: DataFrame, root: str) -> None:
+    """Moves files (rows with path, mod_time and whatever else, content too) to the folder of their UTC date.
+
+    What already lies in the archive, by its listing, stays as it is, and a file given twice goes
+    once; so the same files may be archived again after any interruption. An archive is added to by
+    one writer at a time.
+    """
+    dated = with_archive_path(files, root)
+    there = archived(files.sparkSession, root)
+    new = dated if there is None else not_archived(dated, there)
+    new.dropDuplicates(["target_path"]).write.mode("append").partitionBy("year", "month", "day").parquet(root)
