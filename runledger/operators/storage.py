@@ -17,6 +17,20 @@ DAY_SECONDS = 86_400
 DEFAULT_HORIZON_DAYS = 528
 
 
+def write_usage(usage: DataFrame, root: str, mode: str = "append") -> None:
+    """Usage rows by UTC day of their hour, sorted by cluster and path within a file."""
+    dated = usage.withColumn("day", F.col("run_id") - F.pmod(F.col("run_id"), F.lit(DAY_SECONDS)))
+    dated.hint("rebalance", "day").sortWithinPartitions("day", "cluster", "path").write.mode(mode).partitionBy("day").parquet(root)
+
+
+def hours(usage: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of the hours from ``first`` to ``last``. A table by days (see :func:`write_usage`) is read in the folders of these days only."""
+    rows = usage.filter(F.col("run_id").between(first, last))
+    if "day" in usage.columns:
+        rows = rows.filter(F.col("day").between(first - first % DAY_SECONDS, last))
+    return rows
+
+
 def newest_cells(rows: DataFrame, key: list[str], write_order: list[str], keep: int = 1) -> DataFrame:
     """The newest ``keep`` versions of every key. Map tasks cut to ``keep`` rows per key first."""
     newest = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in write_order])
@@ -44,7 +58,7 @@ def snapshot(
 ) -> DataFrame:
     """Usage of one hour; the limit counts merged paths."""
     hour = run_id - run_id % T.HOUR_SECONDS
-    merged = merge_namespaces(_under(usage, cluster, path_prefix).filter(F.col("run_id") == hour))
+    merged = merge_namespaces(hours(_under(usage, cluster, path_prefix), hour, hour))
     return merged if limit is None else order(merged).limit(limit)
 
 
@@ -58,9 +72,7 @@ def snapshot_as_of(
 ) -> DataFrame:
     """Usage of the newest hour at or before the asked one that holds any, per cluster."""
     hour = asked - asked % T.HOUR_SECONDS
-    rows = _under(usage, cluster, path_prefix).filter(
-        F.col("run_id").between(hour - horizon_days * DAY_SECONDS, hour)
-    )
+    rows = hours(_under(usage, cluster, path_prefix), hour - horizon_days * DAY_SECONDS, hour)
     # one row per cluster
     newest = rows.groupBy("cluster").agg(F.max("run_id").alias("run_id"))
     merged = merge_namespaces(rows.join(newest, ["cluster", "run_id"], "left_semi"))
@@ -73,9 +85,7 @@ def series(
     """Usage of one path, newest hour first; ``newer`` and ``older`` bound the hours."""
     if older > newer:
         raise ValueError(f"end time {older} must be older than start time {newer}")
-    rows = _under(usage, cluster, None).filter(
-        (F.lower("path") == F.lower(cleanse_token(F.lit(path)))) & F.col("run_id").between(older, newer)
-    )
+    rows = hours(_under(usage, cluster, None), older, newer).filter(F.lower("path") == F.lower(cleanse_token(F.lit(path))))
     merged = merge_namespaces(rows)
     return merged if limit is None else order(merged).limit(limit)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ...functions import paths as P
 from ...operators import storage as O
+from ...session import new_work_path
 from ..views import Views
 from .registry import merged_sql, query
 
@@ -93,3 +94,15 @@ def qualified_paths_of_two_listings(v: Views):
     both = a.join(b, ["path", "run_id"])
     same = P.same_qualified_path(F.col("cluster"), F.col("path"), F.nullif("namespace", F.lit("ns2")), F.col("other_cluster"), F.col("path"), F.col("other_namespace"))
     return both.groupBy("cluster", "path", "namespace", "other_cluster", "other_namespace").agg(F.count("*").alias("pairs"), F.count_if(same).alias("matches"))
+
+
+@query("storage_stored_by_day", "P25 P26 J8 A10", f"""
+SELECT 'as of' AS reading, * FROM ({merged_sql("usage", "run_id = (SELECT max(u.run_id) FROM usage u WHERE u.cluster = usage.cluster AND u.run_id <= 1704240000)")})
+UNION ALL SELECT 'series', * FROM ({merged_sql("usage", f"lower(path) = '/view/7' AND run_id BETWEEN {WEEK_AGO} AND {NOW}")})""", "usage")
+def storage_stored_by_day(v: Views):
+    """As-of look-up and series on the usage written by day."""
+    path = new_work_path(v.spark, "usage")
+    O.write_usage(v.hdfs_usage(), path)
+    stored = v.spark.read.parquet(path)
+    as_of, series = O.snapshot_as_of(stored, None, 1704240000 + 59), O.series(stored, None, "/VIEW/7", NOW, WEEK_AGO)
+    return as_of.select(F.lit("as of").alias("reading"), "*").unionByName(series.select(F.lit("series").alias("reading"), "*"))

@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +251,23 @@ def test_read_defaults(spark):
     assert reads.all_apps(daily, "c1", 60 * DAY).first().job_count == 2  # both days count whole
     with pytest.raises(ValueError):
         reads.cluster_of(jobs, " ")
+
+
+def test_usage_by_day_is_read_in_the_days_needed(spark, tmp_path):
+    from runledger.operators import storage
+
+    hour = 3600
+    counts = {c: 1 for c in [*storage.COUNTS]}
+    rows = [("c1", "/a/b", "n", d * 86_400 + h * hour, "o", *counts.values(), 0.5, 0.25) for d in range(10, 30) for h in (0, 5, 23)]
+    schema = "cluster string, path string, namespace string, run_id bigint, owner string, " + ", ".join(f"{c} bigint" for c in counts) + ", access_cost double, storage_cost double"
+    usage = spark.createDataFrame(rows, schema)
+    storage.write_usage(usage, str(tmp_path / "usage"))
+    stored = spark.read.parquet(str(tmp_path / "usage"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    for read in (lambda u: storage.snapshot(u, "c1", 12 * 86_400 + 5 * hour + 7), lambda u: storage.snapshot_as_of(u, "c1", 12 * 86_400 + 6 * hour, horizon_days=3),
+                 lambda u: storage.series(u, "c1", "/A/B", 14 * 86_400, 12 * 86_400 + hour)):
+        got = read(stored)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, read(usage).collect())) and got.count()
+        filters = re.search(r"PartitionFilters: \[([^\]]*)", got.select("*")._jdf.queryExecution().executedPlan().toString())[1]
+        assert "day#" in filters and ">=" in filters and "<=" in filters
+    spark.conf.unset("spark.sql.maxMetadataStringLength")

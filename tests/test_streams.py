@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.sql import functions as F
 from test_logs import CONF, JSON, TEXT
 
 from runledger.plans import ingest
@@ -32,6 +33,23 @@ def test_late_jobs_count(spark, tmp_path):
     assert {r.period_start // DAY: r.number_runs for r in runs} == {400: 1, 401: 1, 402: 1, 100: 1}
 
 
+def test_marks_of_runs_leave_after_30_days(spark, tmp_path):
+    """Runs stay exact although the state forgets them: the written rows are the marks of older runs."""
+    def job(run, arrived):
+        return ("c", "u", "a", run * DAY + 5, 1.0, 1, 1, 1, 1, 1, arrived)
+
+    frames = [[job(400, 0), job(401, 0)], [job(400, 20), job(402, 20)], [job(403, 60)], [job(400, 61), job(402, 61)], [job(404, 120)], [job(400, 121)]]
+    jobs = stream_of(spark, frames, JOB + ", arrived int", str(tmp_path / "jobs"))
+    at = F.timestamp_seconds((F.col("arrived") + 1000) * 86_400)
+    query = sinks.start_append(T.new_runs(jobs, arrived=at), str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "table"))
+    assert {r.period_start // DAY: r.number_runs for r in T.run_counts(rows).collect()} == {d: 1 for d in (400, 401, 402, 403, 404)}
+    assert rows.count() > 5  # runs 400 and 402 came again after their marks had gone
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) <= 4 and kept[-1] <= 3  # of seven marks made; marks leave a micro-batch after their time
+
+
 def test_the_last_write_of_an_event_wins(spark, tmp_path):
     frames = [[("c", 1, 1, "old", 1), ("c", 1, 2, "x", 2)], [("c", 1, 1, "new", 3), ("c", 1, 1, "newest", 4)]]
     events = stream_of(spark, frames, "cluster string, flow_id int, sequence int, data string, write_seq int", str(tmp_path / "events"))
