@@ -93,12 +93,12 @@ def test_cost(value):
 
 
 def test_history_head(value):
-    text = F.lit('Meta VERSION="1" .\nJob JOBID="j" SUBMIT_TIME="1339063492288" .\n')
+    text = F.lit('Meta VERSION="1" .\nJob JOBID="j" SUBMIT_TIME="1401234567890" .\n')
     assert value(H.history_version(text)) == "ONE"
-    assert value(H.submit_time(text, F.lit("ONE"))) == 1339063492288
-    json = F.lit('Avro-Json\n{}\n{"type":"JOB_SUBMITTED","event":{"x":{"submitTime":1329348443227}}}')
+    assert value(H.submit_time(text, F.lit("ONE"))) == 1401234567890
+    json = F.lit('Avro-Json\n{}\n{"type":"JOB_SUBMITTED","event":{"x":{"submitTime":1356789012345}}}')
     assert value(H.history_version(json)) == "TWO"
-    assert value(H.submit_time(json, F.lit("TWO"))) == 1329348443227
+    assert value(H.submit_time(json, F.lit("TWO"))) == 1356789012345
     assert value(H.history_version(F.lit("other"))) is None
     assert value(H.submit_time(F.lit('Meta VERSION="1" .\nJob SUBMIT_TIME="133'), F.lit("ONE"))) == 0
 
@@ -127,11 +127,11 @@ def test_field_names_and_defaults(value):
 
 
 @pytest.mark.parametrize("name,job,kind", [
-    ("job_201306192120_0003_1371677290604_user_word+count", "job_201306192120_0003", "history"),
-    ("job_201306192120_0003_conf.xml", "job_201306192120_0003", "conf"),
-    ("cluster_1371_job_201306192120_0003_conf.xml", "job_201306192120_0003", "conf"),
-    ("job_1329348432655_0001-1329348443227-user-Sleep+job.jhist", "job_1329348432655_0001", "history"),
-    ("job_201306192120_0003_conf.xml.crc", None, "none"), ("", None, "none"), ("other.txt", None, "none"),
+    ("job_201409081530_0042_1410190211111_user_word+count", "job_201409081530_0042", "history"),
+    ("job_201409081530_0042_conf.xml", "job_201409081530_0042", "conf"),
+    ("cluster_1410_job_201409081530_0042_conf.xml", "job_201409081530_0042", "conf"),
+    ("job_1356789000000_0017-1356789012345-user-Sleep+job.jhist", "job_1356789000000_0017", "history"),
+    ("job_201409081530_0042_conf.xml.crc", None, "none"), ("", None, "none"), ("other.txt", None, "none"),
 ])
 def test_file_names(value, name, job, kind):
     assert value(P.file_job_id(F.lit(name))) == job
