@@ -1,11 +1,19 @@
 """Benchmark decontamination by edit distance over item-sized windows of words.
 
-An item of n words, u of them distinct, can only match a window of n words that holds at least
-u - d of its distinct words (d: edits allowed). Windows that pass this and the items are embedded by random walks that map edit distance to Hamming
-distance: step j emits the current word and moves on if a random bit of (j, word) says so.
-Tables of a few sampled steps bring windows and items together; the number of tables follows
-from the chance that a random edit of d words still agrees in one of them, measured on the
-items themselves, and the recall asked for. Matches are confirmed by exact edit distance.
+An item of n words, u of them distinct, matches where a run of words lies within d edits of it.
+Such a run has n - d to n + d words and holds at least u - d of the item's distinct words, so
+each start of a text is tried with a window of n + d words and the edit distance is taken over
+all ends of the window. Longer items are cut into pieces: if each piece had more than its share
+of edits, so had the item, so some piece is found, and the item is verified around it. Pieces of
+similar length share a band, searched in one pass over the words.
+
+Windows that hold enough of a piece's words and the pieces are embedded by random walks that map
+edit distance to Hamming distance: step j emits the current word and moves on if a random bit of
+(j, word) says so. Tables of a few sampled steps bring windows and items together; the number of
+tables follows from the chance that a random edit of d words still agrees in one of them,
+measured on the pieces themselves (edits of one kind or mixed), and the recall asked for. Pieces
+that would need many tables get tables of fewer steps; there is no bound on their number. Matches are confirmed by exact
+edit distance.
 
 The items are a query set: they are taken in blocks of bounded size, all documents against
 each block, in one pass without a shuffle.
@@ -21,22 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pinned, table, text_bytes
+from .common import pinned, ranges, table, text_bytes
 
 SHARE = 0.2
 RECALL = 0.999
 STEPS_PER_TABLE = 5
 TABLES_PER_WALK = 4
-MOST_TABLES = 200
+FEW_TABLES = 48  # beyond it, tables of fewer steps are taken
+BAND = 1.25  # longest to shortest piece of a band
+PIECE = 64  # words
 BLOCK_ITEMS = 5000
+BLOCK_WORDS = 500_000
+CELLS = 2_000_000  # of a matrix of windows
 TRIALS = 50
 TRIAL_WALKS = 16
 OUT = -1
 
 
-def edit_distance(words: list, masks: dict, n: int) -> int:
-    """Edit distance of ``words`` to an item of n words given by its bit masks (bit-parallel)."""
-    ones = (1 << n) - 1
+def distances(words: list, masks: dict, n: int, anywhere: bool = False) -> Iterator[int]:
+    """For each end in ``words``, the edit distance of what lies before it to an item of n words,
+    given by its bit masks (bit-parallel). ``anywhere``: from the best start, else from the first word."""
+    ones, step = (1 << n) - 1, 0 if anywhere else 1
     up, down, score, top = ones, 0, n, 1 << (n - 1)
     for w in words:
         eq = masks.get(w, 0)
@@ -48,13 +61,36 @@ def edit_distance(words: list, masks: dict, n: int) -> int:
             score += 1
         elif minus & top:
             score -= 1
-        plus = (plus << 1 | 1) & ones
+        yield score
+        plus = (plus << 1 | step) & ones
         minus = (minus << 1) & ones
         up = minus | (~(d0 | plus) & ones)
         down = plus & d0
+
+
+def edit_distance(words: list, masks: dict, n: int) -> int:
+    score = n
+    for score in distances(words, masks, n):
+        pass
     return score
 
 
+def nearest_prefix(words: list, masks: dict, n: int) -> tuple[int, int]:
+    """(distance, length) of the prefix nearest to the item, the shortest of equal ones."""
+    return min(((d, k) for k, d in enumerate(distances(words, masks, n), 1)), default=(n, 0))
+
+
+def best_run(words: list, item: list, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the run of words nearest to the item, the first of equal ones."""
+    n = len(item)
+    least = min(distances(words, masks_of(item), n, True), default=n)
+    if least > most:
+        return None
+    back = distances(words[::-1], masks_of(item[::-1]), n, True)
+    start = len(words) - max(k for k, d in enumerate(back, 1) if d == least)
+    return least, start, start + nearest_prefix(words[start:], masks_of(item), n)[1]
+
+
 def masks_of(words: list) -> dict:
     out: dict = {}
     for i, w in enumerate(words):
@@ -74,53 +110,80 @@ def embedded(flat: np.ndarray, start: np.ndarray, size: np.ndarray, coins: np.nd
     return out
 
 
-class Group:
-    """Items of one length with their tables."""
-
-    def __init__(self, n: int, items: list[tuple[int, list[int]]], vocabulary: int, share: float, recall: float):
-        self.n, self.edits = n, int(share * n)
-        self.names = [name for name, _ in items]
-        self.words = np.array([w for _, w in items], np.int64).reshape(len(items), n)
-        self.masks = [masks_of(w) for _, w in items]
-        self.member = np.zeros(vocabulary + 1, bool)  # the last is for words of no item
-        self.member[self.words.ravel()] = True
-        self.least = np.array([len(set(w)) - self.edits for w in self.words.tolist()])
-        self.of_item = np.zeros((vocabulary + 1, len(items)), np.int8)
-        for i, w in enumerate(self.words):
-            self.of_item[w, i] = 1
-        rng = np.random.default_rng(n)
-        agree = self.chance(rng, vocabulary)
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - min(agree, 0.99)))
-        walks = -(-min(tables, MOST_TABLES) // TABLES_PER_WALK)
-        self.walks = [self.walk(rng) for _ in range(walks)]
-        flat, start = self.words.ravel(), np.arange(len(items)) * n
+def regions(places: list[int], most: int, n: int) -> Iterator[tuple[int, int]]:
+    """What an item of n words can cover if it starts within ``most`` words of one of ``places``;
+    starts that lie close together are one region."""
+    first = last = places[0]
+    for at in places[1:]:
+        if at > last + 2 * most + 1:
+            yield first - most, last + n + 2 * most
+            first = at
+        last = at
+    yield first - most, last + n + 2 * most
+
+
+class Band:
+    """Pieces of similar length, given as (item, offset in it, words), with their tables."""
+
+    def __init__(self, items: list[tuple[int, int, list[int]]], vocabulary: int, share: float, recall: float):
+        self.item = [item for item, _, _ in items]
+        self.offset = [offset for _, offset, _ in items]
+        self.words = [np.array(w, np.int64) for _, _, w in items]
+        self.size = np.array([len(w) for w in self.words])
+        self.edits = (share * self.size).astype(np.int64)
+        self.width = int((self.size + self.edits).max())
+        self.shortest = int((self.size - self.edits).min())
+        distinct = [np.unique(w) for w in self.words]
+        self.least = np.maximum(np.array([len(w) for w in distinct]) - self.edits, 1)
+        # items that hold word w: posted[starts[w] : starts[w + 1]]; the last word is that of no item
+        word, item = np.concatenate(distinct), np.repeat(np.arange(len(items)), [len(w) for w in distinct])
+        self.posted = item[np.argsort(word, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=vocabulary + 1))])
+        # past these steps, a walk may leave a short piece
+        self.steps = max(STEPS_PER_TABLE, int(1.6 * self.size.min()))
+        rng = np.random.default_rng(int(self.size.min()))
+        self.per_table, tables = self.plan(rng, vocabulary, recall)
+        self.walks = [self.walk(rng, self.per_table) for _ in range(-(-tables // TABLES_PER_WALK))]
+        flat, start = np.concatenate(self.words), np.cumsum(self.size) - self.size
         self.tables = []
         for coins, steps in self.walks:
-            full = embedded(flat, start, np.full(len(items), n), coins)
+            full = embedded(flat, start, self.size, coins)
             self.tables.append([self.sorted_keys(full[:, s]) for s in steps])
 
-    def walk(self, rng) -> tuple[np.ndarray, list[np.ndarray]]:
-        coins = rng.integers(0, 1 << 63, 3 * self.n).astype(np.uint64) | np.uint64(1)
-        return coins, [np.sort(rng.choice(3 * self.n, min(STEPS_PER_TABLE, 3 * self.n), replace=False)) for _ in range(TABLES_PER_WALK)]
+    def walk(self, rng, per_table: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        coins = rng.integers(0, 1 << 63, self.steps).astype(np.uint64) | np.uint64(1)
+        return coins, [np.sort(rng.choice(self.steps, per_table, replace=False)) for _ in range(TABLES_PER_WALK)]
 
-    def chance(self, rng, vocabulary: int) -> float:
-        """Share of trials in which an item and a random edit of it agree in one table."""
+    def plan(self, rng, vocabulary: int, recall: float) -> tuple[int, int]:
+        """Steps of a table and number of tables that reach the recall in trials: items against
+        themselves with all edits allowed and other words behind."""
         runs: list[list[int]] = []
-        for _ in range(TRIALS):
-            a = self.words[rng.integers(len(self.words))].tolist()
+        for trial in range(TRIALS):
+            pick = int(rng.integers(len(self.words)))
+            a = self.words[pick].tolist()
             b = list(a)
-            for kind in rng.integers(0, 3, self.edits):
+            for kind in rng.integers(0, 3, self.edits[pick]) if trial % 4 == 3 else [trial % 4] * self.edits[pick]:
                 at = int(rng.integers(0, len(b) + 1))
                 b[at : at + (kind != 0)] = [int(rng.integers(vocabulary))] if kind != 2 else []
-            runs += [a, b[: self.n]]
+            runs += [a, (b + rng.integers(0, vocabulary, self.width).tolist())[: self.width]]
         size = np.array([len(x) for x in runs])
         flat, start = np.array([w for x in runs for w in x], np.int64), np.cumsum(size) - size
-        hits = 0
+        agree = []
         for _ in range(TRIAL_WALKS):
-            coins, steps = self.walk(rng)
-            both = embedded(flat, start, size, coins)
-            hits += sum(int((both[::2][:, s] == both[1::2][:, s]).all(1).sum()) for s in steps)
-        return max(hits, 1) / (TRIALS * TRIAL_WALKS * TABLES_PER_WALK)
+            both = embedded(flat, start, size, self.walk(rng, 1)[0])
+            agree.append(both[::2] == both[1::2])
+        found = []
+        for per_table in range(STEPS_PER_TABLE, 0, -1):
+            hits = sum(one[:, s].all(1).astype(int) for one in agree for s in self.walk(rng, per_table)[1])
+            missed = 1 - (hits + 0.5) / (TRIAL_WALKS * TABLES_PER_WALK + 1)
+            tables = 1
+            while (missed**tables).mean() > 1 - recall:
+                tables += 1
+            if tables <= FEW_TABLES:
+                return per_table, tables
+            found.append((tables, per_table))
+        tables, per_table = min(found)
+        return per_table, tables
 
     @staticmethod
     def keys(rows: np.ndarray) -> np.ndarray:
@@ -138,21 +201,25 @@ class Group:
     def near(self, flat: np.ndarray, before: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of windows that hold enough distinct words of some item. ``before``: place
         of the same word before, ``first`` and ``ends``: of the text, for each place."""
-        at = np.flatnonzero(self.member[flat])
-        lo = np.maximum(np.maximum(before[at], at - self.n), first[at] - 1) + 1
+        many = np.diff(self.starts)
+        at = np.flatnonzero(many[flat])
+        lo = np.maximum(np.maximum(before[at], at - self.width), first[at] - 1) + 1
         distinct = np.cumsum(np.bincount(lo, minlength=len(flat) + 1) - np.bincount(at + 1, minlength=len(flat) + 1))[:-1]
         start = np.flatnonzero(distinct >= self.least.min())
-        end = np.minimum(start + self.n, ends[start])
-        fits = end - start >= self.n - self.edits
+        end = np.minimum(start + self.width, ends[start])
+        fits = end - start >= self.shortest
         start, end = start[fits], end[fits]
         good = np.zeros(len(start), bool)
-        for k in range(0, len(start), 5000):
-            place = start[k : k + 5000, None] + np.arange(self.n)
-            words = np.sort(np.where(place < end[k : k + 5000, None], flat[np.minimum(place, len(flat) - 1)], OUT), 1)
-            new = np.ones(words.shape, np.int8)
-            new[:, 1:] = words[:, 1:] != words[:, :-1]
-            held = np.einsum("wn,wni->wi", new, self.of_item[words], dtype=np.int32)
-            good[k : k + 5000] = (held >= self.least).any(1)
+        rows = max(1, CELLS // max(self.width, len(self.item)))
+        for k in range(0, len(start), rows):
+            place = start[k : k + rows, None] + np.arange(self.width)
+            inside = place < end[k : k + rows, None]
+            place = np.minimum(place, len(flat) - 1)
+            window, column = np.nonzero(inside & (before[place] < start[k : k + rows, None]) & (many[flat[place]] > 0))
+            word = flat[place[window, column]]
+            item = self.posted[np.repeat(self.starts[word], many[word]) + ranges(many[word])]
+            held = np.bincount(np.repeat(window, many[word]) * len(self.item) + item, minlength=len(place) * len(self.item))
+            good[k : k + rows] = (held.reshape(len(place), -1) >= self.least).any(1)
         return start[good], end[good]
 
     def candidates(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,22 +232,30 @@ class Group:
                 lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 window = np.repeat(np.arange(len(key)), hi - lo)
                 offset = np.arange(len(window)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-                found.append(window * len(self.names) + order[np.repeat(lo, hi - lo) + offset])
+                found.append(window * len(self.item) + order[np.repeat(lo, hi - lo) + offset])
         pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.names), pairs % len(self.names)
+        return pairs // len(self.item), pairs % len(self.item)
 
 
 class Index:
     """A block of items, ready to be searched in texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int | None, bytes]], share: float = SHARE, recall: float = RECALL):
         words = [(name, text.lower().split()) for name, text in items]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in words for w in ws))}
-        by_size: dict[int, list] = {}
-        for name, ws in words:
-            if ws:
-                by_size.setdefault(len(ws), []).append((name, [self.ids[w] for w in ws]))
-        self.groups = [Group(n, its, len(self.ids), share, recall) for n, its in sorted(by_size.items())]
+        self.items = [(name, [self.ids[w] for w in ws]) for name, ws in words]
+        self.share = share
+        pieces = []
+        for i, (_, ws) in enumerate(self.items):
+            cuts = -(-len(ws) // PIECE)
+            borders = [len(ws) * k // cuts for k in range(cuts + 1)] if cuts else []
+            pieces += [(i, a, ws[a:b]) for a, b in zip(borders, borders[1:])]
+        bands: list[list] = []
+        for piece in sorted(pieces, key=lambda x: len(x[2])):
+            if not bands or len(piece[2]) > BAND * len(bands[-1][0][2]):
+                bands.append([])
+            bands[-1].append(piece)
+        self.bands = [Band(held, len(self.ids), share, recall) for held in bands]
 
     def matches(self, texts: list[bytes]) -> dict[int, list[tuple]]:
         """By number of the text: (item, start word, end word, edits), the best window of each item."""
@@ -189,48 +264,57 @@ class Index:
         get = self.ids.get
         flat = np.fromiter((get(x, OUT) for w in words for x in w), np.int64, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
-        best: dict[int, dict] = {}
+        starts: dict[tuple[int, int], set] = {}  # by text and item: where the item may start
         order = np.argsort(flat, kind="stable")
         before = np.full(len(flat), OUT, np.int64)
         same = flat[order][1:] == flat[order][:-1]
         before[order[1:][same]] = order[:-1][same]
         of = np.repeat(np.arange(len(texts)), sizes)
-        for g in self.groups:
+        for band in self.bands:
             if not len(flat):
                 break
-            near, end = g.near(flat, before, first[of], (first + sizes)[of])
+            near, end = band.near(flat, before, first[of], (first + sizes)[of])
             doc = of[near]
-            for at in range(0, len(near), 20_000):
-                part = slice(at, at + 20_000)
-                window, item = g.candidates(flat, near[part], (end - near)[part])
+            rows = max(1, CELLS // band.steps)
+            for at in range(0, len(near), rows):
+                part = slice(at, at + rows)
+                window, item = band.candidates(flat, near[part], (end - near)[part])
                 for w, i in zip((window + at).tolist(), item.tolist()):
-                    a, b, d = int(near[w]), int(end[w]), int(doc[w])
-                    edits = edit_distance(flat[a:b].tolist(), g.masks[i], g.n)
-                    if edits <= g.edits:
-                        start = a - int(first[d])
-                        held = best.setdefault(d, {})
-                        held[g.names[i]] = min(held.get(g.names[i], (edits + 1,)), (edits, start, start + b - a))
-        return {d: [(name, s, e, k) for name, (k, s, e) in sorted(m.items())] for d, m in best.items()}
+                    starts.setdefault((int(doc[w]), band.item[i]), set()).add(int(near[w]) - band.offset[i])
+        best: dict[int, dict] = {}
+        for (d, i), places in starts.items():
+            name, item = self.items[i]
+            most, low, high = int(self.share * len(item)), int(first[d]), int(first[d] + sizes[d])
+            for a, b in regions(sorted(places), most, len(item)):
+                a = max(a, low)
+                found = best_run(flat[a : min(b, high)].tolist(), item, most)
+                if found:
+                    run = (found[0], found[1] + a - low, found[2] + a - low)
+                    held = best.setdefault(d, {})
+                    held[name] = min(held.get(name, run), run)
+        return {d: [(name, s, e, k) for name, (k, s, e) in sorted(m.items(), key=lambda x: (x[0] is None, x[0] or 0))] for d, m in best.items()}
 
 
 def blocks(benchmark: DataFrame, share: float, recall: float) -> Iterator[Index]:
-    """Items in blocks; null ids and texts without words match nothing."""
-    held: list[tuple[int, bytes]] = []
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    """Items in blocks; texts without words match nothing."""
+    held: list[tuple[int | None, bytes]] = []
+    words = 0
+    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         held.append((row[0], row[1].encode()))
-        if len(held) >= BLOCK_ITEMS:
+        words += len(held[-1][1].split())
+        if len(held) >= BLOCK_ITEMS or words >= BLOCK_WORDS:
             yield Index(held, share, recall)
-            held = []
+            held, words = [], 0
     if held:
         yield Index(held, share, recall)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
-    """(doc_id, item_id, start, end, edits), words of the document's best window for each item
-    within ``share`` times the item's words of edits.
+    """(doc_id, item_id, start, end, edits), words of the document's best run for each item
+    within ``share`` times the item's words of edits: least edits, then first start, then first end.
 
     Null and empty texts match nothing; repeated rows match repeatedly; items that share an id
-    count as one. No rows without documents or items. Other columns are not read.
+    count as one, so do those without one. No rows without documents or items. Other columns are not read.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start long, end long, edits long"

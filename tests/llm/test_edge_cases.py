@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -249,7 +250,7 @@ def test_decontamination_recall(spark, benchmark):
         rows.append((i, prose(40, 1000 + i) + " " + " ".join(w).upper() + " " + prose(40, 2000 + i)))
         masks = decontamination.masks_of(text.split())
         all_words, n = rows[-1][1].lower().split(), len(text.split())
-        if min(decontamination.edit_distance(all_words[a : a + n], masks, n) for a in range(len(all_words))) <= int(0.2 * n):
+        if min(decontamination.nearest_prefix(all_words[a : a + 2 * n], masks, n)[0] for a in range(len(all_words))) <= int(0.2 * n):
             planted.add((i, item))
     rows += [(300 + i, prose(200, 5000 + i)) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -257,11 +258,43 @@ def test_decontamination_recall(spark, benchmark):
     assert got <= planted and len(got) >= 0.99 * len(planted) and len(planted) > 200
 
 
+@pytest.mark.parametrize("n", [15, 40, 150, 600])
+def test_decontamination_finds_inserted_words_at_every_length(n):
+    r = random.Random(n)
+    items = [(i, prose(n, 300 + i).encode()) for i in range(4)]
+    index = decontamination.Index(items)
+    missed, most = 0, int(0.2 * n)
+    for k in range(100):
+        w = items[k % 4][1].decode().split()
+        for j in range(most - k % 3):  # insertions alone, up to all edits allowed
+            w.insert(r.randint(1, len(w) - 1), f"new{j}")
+        text = (prose(30, 7000 + k) + " " + " ".join(w) + " " + prose(30, 8000 + k)).encode()
+        found = {m[0]: m[3] for m in index.matches([text]).get(0, [])}
+        missed += found.get(k % 4, n) > most
+    assert missed <= 1
+
+
+def test_decontamination_index_is_built_for_many_lengths():
+    start = time.perf_counter()
+    index = decontamination.Index([(i, prose(10 + i, i).encode()) for i in range(300)])
+    assert len(index.bands) <= 20 and time.perf_counter() - start < 60
+    text = prose(40, 1) + " " + prose(210, 200) + " " + prose(40, 2)
+    assert (200, 40, 250, 0) in index.matches([text.encode()])[0]
+
+
+def test_decontamination_of_items_without_id(spark, docs):
+    items = spark.createDataFrame([(None, PASSAGE), (None, "of no text at all " * 5), (1, PASSAGE), (2, None), (3, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()} == {(10, None), (11, None), (10, 1), (11, 1)}
+    kept = {r.doc_id for r in decontamination.drop_contaminated(docs, items.where("item_id IS NULL")).collect()}
+    assert not kept & {10, 11} and 9 in kept
+
+
 def test_decontamination_in_blocks(spark, docs, benchmark, monkeypatch):
-    whole = sorted(map(tuple, decontamination.matches(docs, benchmark).collect()))
-    assert {(d, i) for d, i, *_ in whole} == {(10, 1), (11, 1)}
+    whole = sorted(map(tuple, decontamination.matches(docs, benchmark).collect()), key=str)
+    # the item without an id is searched as well
+    assert {(d, i) for d, i, *_ in whole} == {(10, 1), (11, 1), (1, None), (2, None), (3, None)}
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 1)
-    assert sorted(map(tuple, decontamination.matches(docs, benchmark).collect())) == whole
+    assert sorted(map(tuple, decontamination.matches(docs, benchmark).collect()), key=str) == whole
     assert 10 not in {r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()}
 
 

@@ -149,9 +149,11 @@ def leaks(docs, share=0.2):
             v = words(t)
             known = np.cumsum([0] + [x in set(w) for x in v])
             for a in range(max(0, len(v) - (n - most) + 1)):
-                b = min(a + n, len(v))
-                if known[b] - known[a] >= n - most and (d := distance(v[a:b], w)) <= most:
-                    out[i, item] = min(out.get((i, item), (n,)), (d, a, b))
+                longest = min(a + n + most, len(v))
+                if known[longest] - known[a] >= n - most:
+                    for b in range(a + n - most, longest + 1):
+                        if known[b] - known[a] >= n - most and (d := distance(v[a:b], w)) <= most:
+                            out[i, item] = min(out.get((i, item), (n,)), (d, a, b))
     return out
 
 
