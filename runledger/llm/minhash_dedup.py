@@ -74,6 +74,13 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     return keyed(docs).mapInArrow(sketch, "doc_id long, text_hash int, n_shingles long, digest binary, sketch array<long>")
 
 
+def with_rarity(values: DataFrame) -> DataFrame:
+    """``values`` that occur in two rows or more, with the number of rows (df). Counted before the
+    shuffle and joined back: a value of very many rows fills no window, and the join can be split."""
+    df = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    return values.join(df, "value")
+
+
 def near_in_size(a: str, b: str, threshold: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
@@ -141,9 +148,8 @@ def close_in_full(texts: DataFrame, size: int, threshold: int) -> DataFrame:
 
     values = texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, shingles array<long>")
     values = values.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
-    values = values.repartition("value").withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
     of_node = W.partitionBy("node")
-    values = values.withColumn("shared", F.count("*").over(of_node)).withColumn("at", F.col("n") - F.col("shared") + F.row_number().over(of_node.orderBy("df", "value")))
+    values = with_rarity(values).withColumn("shared", F.count("*").over(of_node)).withColumn("at", F.col("n") - F.col("shared") + F.row_number().over(of_node.orderBy("df", "value")))
     values = values.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).drop("df", "shared")
     x = values.toDF("a", "c_a", "n_a", "value", "at_a")
     y = values.toDF("b", "c_b", "n_b", "value", "at_b")
@@ -166,16 +172,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     """
     all_docs = pinned(sketches(docs, size, k), "sketches")
     members = all_docs.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "digest")
-    node = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("node")
     classes = members.groupBy("digest", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"))
-    classes = pinned(classes.select("digest", node, "n_shingles", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "classes")
+    # numbered as they are written once; the whole digest names a class, never a part of it
+    classes = pinned(classes.select("digest", F.monotonically_increasing_id().alias("node"), "n_shingles", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "classes")
     c = classes.select("node", "n_shingles", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"), F.col("digest").alias("rep_digest"))
     nodes = pinned(
         all_docs.join(c, (all_docs["digest"] == c["rep_digest"]) & all_docs["doc_id"].eqNullSafe(c["rep_id"]) & (all_docs["text_hash"] == c["rep_hash"]))
         .select("node", c["n_shingles"], "sketch").dropDuplicates(["node"]), "nodes")
 
     values = nodes.select("node", F.col("n_shingles").alias("n"), F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    values = values.repartition("value").withColumn("df", F.count("*").over(W.partitionBy("value"))).where("df > 1")
+    values = with_rarity(values)
     of_node = W.partitionBy("node")
     whole = F.ceil(F.col("n") * threshold / 100)
     needed = F.when(F.col("n") * 100 <= k * threshold, whole).otherwise(F.least(whole, F.lit(least_common)))

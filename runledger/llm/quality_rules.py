@@ -113,7 +113,7 @@ def ordered(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE
 
 
 def cascade(rules: dict[str, Column], order: list[str]) -> Column:
-    """The first rule that rejects, null if none does; later rules are not evaluated."""
+    """The first rule of ``order`` that rejects, null if none does; later rules are not evaluated."""
     first = None
     for name in order:
         first = F.when(rules[name], name) if first is None else first.when(rules[name], name)
