@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     all_docs = pinned(sketches(docs, size, k), "sketches")
     members = all_docs.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "digest")
     classes = members.groupBy("digest", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"))
-    # numbered as they are written once; the whole digest names a class, never a part of it
+    # numbered in the order of their digests as they are written once: the whole digest names a class,
+    # and ties between classes do not hang on how Spark dealt the rows
+    classes = classes.repartitionByRange("digest").sortWithinPartitions("digest")
     classes = pinned(classes.select("digest", F.monotonically_increasing_id().alias("node"), "n_shingles", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")), "classes")
     c = classes.select("node", "n_shingles", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"), F.col("digest").alias("rep_digest"))
     nodes = pinned(
