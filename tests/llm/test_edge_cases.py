@@ -482,11 +482,3 @@ def test_a_repeated_string_leaves_its_range_once(spark):
     assert sorted(r[0] for r in rows) == sorted(e[4] for e in entries)
     alone = list(suffix_dedup.merged([suffix_dedup.front_coded([entries[0]])], 400))
     assert not alone
-
-
-def test_minhash_counts_a_common_value_before_the_shuffle(spark):
-    rows = [(i, 7) for i in range(1000)] + [(0, 1), (1, 1), (2, 2)]
-    values = minhash_dedup.with_rarity(spark.createDataFrame(rows, "node long, value long"))
-    plan = values._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "partial_count" in plan
-    assert {(r.value, r.df) for r in values.collect()} == {(7, 1000), (1, 2)}
