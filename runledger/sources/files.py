@@ -88,7 +88,11 @@ def archived(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def archive(files: DataFrame, root: str) -> None:
-    """Moves files (rows with path, mod_time and whatever else, content too) to the folder of their UTC date.
+    """Moves files (rows with path, mod_time and whatever else, content too) to the archive, below their UTC date.
+
+    Folders are years; within one the rows are sorted by month and day, so a date finds its rows by the
+    statistics of the files. (A folder for each day would cost every run a file for each day it touches.)
+    A year of many rows goes to several files, years of few share a task.
 
     What already lies in the archive, by its listing, stays as it is, and a file given twice goes
     once; so the same files may be archived again after any interruption. An archive is added to by
@@ -97,4 +101,6 @@ def archive(files: DataFrame, root: str) -> None:
     dated = with_archive_path(files, root)
     there = archived(files.sparkSession, root)
     new = dated if there is None else not_archived(dated, there)
-    new.dropDuplicates(["target_path"]).write.mode("append").partitionBy("year", "month", "day").parquet(root)
+    rows = new.dropDuplicates(["target_path"]).withColumns({c: F.col(c).cast("int") for c in ("month", "day")})
+    by_date = rows.hint("rebalance", "year").sortWithinPartitions("year", "month", "day")
+    by_date.write.mode("append").partitionBy("year").parquet(root)

@@ -29,6 +29,20 @@ def test_archive_takes_every_file_once(spark, tmp_path):
     assert {r.target_path for r in files.archived(spark, root).collect()} == {f"{root}/1970/01/01/a", f"{root}/1970/01/02/b", f"{root}/1970/01/02/c"}
 
 
+def test_an_archive_of_many_days_has_few_folders(spark, tmp_path):
+    root = tmp_path / "done"
+    day = F.col("id") * 86_400_000
+    rows = spark.range(800).select(F.concat(F.lit("in/f"), F.col("id")).alias("path"), day.alias("mod_time"), F.col("id").alias("length"))
+    for part in (rows.where("id % 3 = 0"), rows, rows):
+        files.archive(part, str(root))
+    assert {p.name for p in root.iterdir() if p.is_dir()} == {"year=1970", "year=1971", "year=1972"}
+    assert len(list(root.rglob("*.parquet"))) < 60
+    got = spark.read.parquet(str(root))
+    assert [f.dataType.typeName() for f in got.select("year", "month", "day").schema] == ["integer"] * 3
+    date = F.make_date("year", "month", "day")
+    assert got.count() == 800 and got.where(F.date_diff(date, F.lit("1970-01-01").cast("date")) == F.col("length")).count() == 800
+
+
 def test_exported_jobs_read_back_as_they_were(spark, tmp_path):
     path = str(tmp_path / "json")
     rows = spark.createDataFrame([("c", "u", "a", 1, "job_1_0001", "O", 3, None, {"k": "v", "e": ""}, {"g": {"x": 5}}, {}, None)], export.EXPORTED_JOB)
