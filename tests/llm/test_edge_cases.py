@@ -415,6 +415,26 @@ def test_scores_are_those_of_a_whole_suffix_tree(spark, monkeypatch, depth, leas
         assert x.score == pytest.approx(want[x.doc_id], rel=1e-9), x.doc_id
 
 
+@pytest.mark.parametrize("depth,heavy,parts", [(3, 60, 1), (3, 25, 4), (4, 8, 2), (1, 60, 2)])
+def test_scores_with_many_buckets_and_contexts_counted_by_spark(spark, monkeypatch, depth, heavy, parts):
+    """Chunks, buckets and the bound beyond which a context is not one bucket's affair change no score."""
+    r = random.Random(depth)
+    phrases = [[f"w{int(300 * r.random() ** 3)}" for _ in range(r.randint(3, 7))] for _ in range(60)]
+    docs = {i: " ".join(w for _ in range(r.randint(0, 8)) for w in (r.choice(phrases) if r.random() < 0.7 else [f"Only{i}", "w0"])) for i in range(300)}
+    docs |= {1000: docs[1], 1001: docs[1], 1002: "", 1003: "w1", 1004: "Never " * 300}
+    for name, value in (("PER_PART", 1), ("CHUNK", 500), ("BUCKET", 100), ("HEAVY", heavy), ("PER_FILE", 2)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    counted = []
+    supply = lm_scoring.heavy_supply
+    monkeypatch.setattr(lm_scoring, "heavy_supply", lambda chunks, model, *x: counted.append(len(model.heavy)) or supply(chunks, model, *x))
+    want, _ = suffix_tree_scores(docs, depth, lm_scoring.DIVERGENCE, 2)
+    rows = lm_scoring.scored(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), depth=depth, parts=parts).collect()
+    assert max(counted) == depth
+    assert len(rows) == len(docs)
+    for x in rows:
+        assert x.score == pytest.approx(want[x.doc_id], rel=1e-9), x.doc_id
+
+
 def test_a_context_stays_in_a_corpus_that_grows(spark):
     """A pair of words seen a few times tells the next one, however many other texts there are."""
     r = random.Random(3)
