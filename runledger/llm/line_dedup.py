@@ -155,11 +155,11 @@ def removals(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS
     """doc_id, text_hash, removed: the numbers (from 0) of the lines to remove, for every document
     that has any. Shorter lines than ``least_chars`` characters go with fewer edits, the shortest
     only if equal; lines without a word never go."""
-    labels = components(pinned(near_links(lines(docs), edits, least_chars), "line-links"))
+    labels = components(pinned(near_links(lines(docs), edits, least_chars), "line-links", free=True))
     found = pinned(lines(docs).drop("line"), "lines")
     ids = found.groupBy("id").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     ids = ids.join(labels, ids["id"] == labels["node"], "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
-    ids = pinned(ids.where("n > 1 OR component <> id").unionByName(ids.where("n = 1 AND component = id").join(labels.select("component").distinct(), "component", "left_semi")), "repeated-lines")
+    ids = pinned(ids.where("n > 1 OR component <> id").unionByName(ids.where("n = 1 AND component = id").join(labels.select("component").distinct(), "component", "left_semi")), "repeated-lines", free=True)
     first = ids.groupBy("component").agg(F.min("first").alias("stays"))
     again = found.join(ids.join(first, "component").select("id", "stays"), "id").where(place() != F.col("stays"))
     return again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))

@@ -415,6 +415,14 @@ def test_scores_are_those_of_a_whole_suffix_tree(spark, monkeypatch, depth, leas
         assert x.score == pytest.approx(want[x.doc_id], rel=1e-9), x.doc_id
 
 
+def test_line_dedup_frees_what_it_shuffled(spark, monkeypatch):
+    freed, pinned = {}, line_dedup.pinned
+    monkeypatch.setattr(line_dedup, "pinned", lambda df, label, free=False: freed.update({label: free}) or pinned(df, label, free))
+    docs = spark.createDataFrame([(1, "the same line\nanother"), (2, "the same line")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removals(docs).collect()} == {2: [0]}
+    assert freed["line-links"] and freed["repeated-lines"]
+
+
 @pytest.mark.parametrize("depth,heavy,parts", [(3, 60, 1), (3, 25, 4), (4, 8, 2), (1, 60, 2)])
 def test_scores_with_many_buckets_and_contexts_counted_by_spark(spark, monkeypatch, depth, heavy, parts):
     """Chunks, buckets and the bound beyond which a context is not one bucket's affair change no score."""
